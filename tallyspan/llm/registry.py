@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rule_ledger
+from . import fm_index, rule_ledger
 
-MODULES = (rule_ledger,)
+MODULES = (rule_ledger, fm_index)
 
 
 def queries() -> dict:
