@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fm_index, rule_ledger
+from . import fm_index, mixing, rule_ledger
 
-MODULES = (rule_ledger, fm_index)
+MODULES = (rule_ledger, fm_index, mixing)
 
 
 def queries() -> dict:
