@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fm_index, mixing, rule_ledger
+from . import fm_index, mixing, rule_ledger, weighted_minhash
 
-MODULES = (rule_ledger, fm_index, mixing)
+MODULES = (rule_ledger, fm_index, mixing, weighted_minhash)
 
 
 def queries() -> dict:

@@ -60,7 +60,7 @@ class WaveletMatrix:
         for shift in range(width - 1, -1, -1):
             bits = (now >> shift) & 1 != 0
             planes.append(BitVector.of(bits))
-            now = np.concatenate([now[~bits], now[bits]])
+            now = np.concatenate([np.compress(~bits, now), np.compress(bits, now)])  # several times as fast as now[bits]
         return cls(planes, len(symbols))
 
     def all(self, dtype=np.uint32) -> np.ndarray:
@@ -69,8 +69,8 @@ class WaveletMatrix:
         now = np.zeros(self.n, dtype)
         for shift, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bits, above = plane.bits(), np.empty(self.n, dtype)
-            above[~bits] = now[:zeros]
-            above[bits] = now[zeros:] | dtype(1 << shift)
+            above[np.flatnonzero(~bits)] = now[:zeros]
+            above[np.flatnonzero(bits)] = now[zeros:] | dtype(1 << shift)
             now = above
         return now
 

@@ -63,7 +63,7 @@ class Words:
         at = np.cumsum(length) - length
         within = np.arange(int(length.sum())) - np.repeat(at, length)
         with np.errstate(over="ignore"):
-            value = _KEY[data[inside]] * _POWER[within & 0xFFFF]
+            value = _KEY[np.compress(inside, data)] * _POWER[within & 0xFFFF]
             self.hashes = mix(np.add.reduceat(value, at)) if len(at) else np.empty(0, np.uint64)
 
     def __len__(self) -> int:
@@ -73,7 +73,7 @@ class Words:
         return self.hashes[self.first[i] : self.first[i + 1]]
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about `most` bytes together, or one longer text."""
     size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
     low = 0
