@@ -282,6 +282,24 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the contaminated ones. Texts are judged under their own 64-bit hash, so
+    rows without an id, or that share one, are told apart."""
+    named = docs.select(F.xxhash64(F.col(text)).alias("doc_id"), F.col(text).alias("text"))
+    gone = judge(named, benchmark).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.xxhash64(F.col(text)) == F.col("_gone"), "left_anti")
+
+
+def without_spans(text: str, spans: list) -> str:
+    """The text with the words of the removal spans cut out, and what lies between them."""
+    words = Words(pa.array([text]))
+    kept, at = [], 0
+    for span in spans:
+        kept.append(words.data[at : words.start[span["start"]]].tobytes())
+        at = int(words.end[span["end"] - 1])
+    return b"".join([*kept, words.data[at:].tobytes()]).decode()
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fm_index, mixing, rule_ledger, weighted_minhash
+from . import fm_index, mixing, rule_ledger, token_shards, weighted_minhash
 
-MODULES = (rule_ledger, fm_index, mixing, weighted_minhash)
+MODULES = (rule_ledger, fm_index, mixing, weighted_minhash, token_shards)
 
 
 def queries() -> dict:
