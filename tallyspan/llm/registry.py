@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fm_index, mixing, rule_ledger, token_shards, weighted_minhash
+from . import fm_index, mixing, rule_ledger, surrogates, token_shards, weighted_minhash
 
-MODULES = (rule_ledger, fm_index, mixing, weighted_minhash, token_shards)
+MODULES = (surrogates, token_shards, fm_index, mixing, rule_ledger, weighted_minhash)
 
 
 def queries() -> dict:
