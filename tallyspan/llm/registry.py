@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fm_index, mixing, rule_ledger, surrogates, token_shards, weighted_minhash
+from . import fm_index, mixing, rule_ledger, surrogates, token_shards, url_rules, weighted_minhash
 
-MODULES = (surrogates, token_shards, fm_index, mixing, rule_ledger, weighted_minhash)
+MODULES = (surrogates, token_shards, url_rules, fm_index, mixing, rule_ledger, weighted_minhash)
 
 
 def queries() -> dict:
