@@ -43,9 +43,10 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 class Words:
     """hashes: of all words in order; first: index of each text's first word, and the end;
-    start, end: byte places in data; offsets: of each text's bytes."""
+    start, end: byte places in data; offsets: of each text's bytes; heads: for each n asked
+    for, hashes of the words' first n bytes."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, heads: tuple[int, ...] = ()):
         self.data, self.offsets = data, offsets = text_bytes(texts)
         inside = _IN_WORD[data]
         fresh = np.ones(len(data) + 1, bool)
@@ -64,7 +65,9 @@ class Words:
         within = np.arange(int(length.sum())) - np.repeat(at, length)
         with np.errstate(over="ignore"):
             value = _KEY[np.compress(inside, data)] * _POWER[within & 0xFFFF]
-            self.hashes = mix(np.add.reduceat(value, at)) if len(at) else np.empty(0, np.uint64)
+            total = lambda value: mix(np.add.reduceat(value, at)) if len(at) else np.empty(0, np.uint64)
+            self.hashes = total(value)
+            self.heads = [total(value * (within < n)) for n in heads]
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
