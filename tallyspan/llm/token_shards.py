@@ -11,7 +11,7 @@ lookup. A file is a Parquet part of one row, written by Spark and thus to any st
 
 Encoding splits a text before every single blank that follows something other than white
 space: the tokenizer's own pattern always cuts there, so the pieces' ids joined are the whole
-text's ids. A piece is encoded once per task, however often it occurs. Texts in which a blank
+text's ids. A piece is encoded once per worker, however often it occurs. Texts in which a blank
 follows white space are encoded whole.
 
 Defined results: a null or empty text has the END id alone; null ids sort first; rows that
@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 
 from .tables import read, shared_path
 from .wavelet import BitVector, WaveletMatrix
+from .words import slices
 
 END = 0
 #: Bytes of text to a shard.
-SHARD_BYTES = 8 << 20
-#: Pieces whose ids a task keeps at most before it starts anew: about 300 MB.
-PIECES = 1 << 20
+SHARD_BYTES = 16 << 20
+#: Pieces whose ids a Python worker keeps at most before it starts anew: about 250 MB.
+PIECES = 3 << 19
 #: A blank after white space, in any script.
 _WIDE = r"[\pZ\x09-\x0d\x1c-\x1f\x85] "
 
@@ -49,7 +50,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Texts to ids, with a memory of pieces that have been encoded."""
+    """Texts to ids, with a memory of the pieces that have been encoded. Pieces are text runs
+    between single blanks; fresh ones are encoded many to a call, joined by blanks, and told
+    apart by the tokens that start with a blank: one for each piece, at its start."""
 
     def __init__(self, path: str):
         import os
@@ -59,56 +62,74 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+        self.starts_blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts_blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # a byte-level blank
+        self.forget()
+
+    def forget(self) -> None:
+        """Keeps one piece, number 0: the END id."""
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.pool, self.end = np.array([END], self.dtype), np.array([0, 1])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """The numbers of new pieces."""
+        self.pool = np.concatenate([self.pool, ids])
+        self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(sizes)])
+        return range(len(self.end) - 1 - len(sizes), len(self.end) - 1)
 
-    def numbers(self, pieces: list[str]) -> np.ndarray:
-        """The place in self.ids of each distinct piece."""
-        fresh = [p for p in pieces if p not in self.known]
-        for at in range(0, len(fresh), 5000):
-            for piece, ids in zip(fresh[at : at + 5000], self.encode(fresh[at : at + 5000]), strict=True):
-                self.known[piece] = len(self.ids)
-                self.ids.append(np.array(ids, np.uint32))
-        return np.array([self.known[p] for p in pieces], np.int64)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.encode(texts)
+        return np.array([i for own in ids for i in own], self.dtype), np.array(list(map(len, ids)), np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        """Adds the ids of blank + word for each word."""
+        plain = [w for w in words if w and w == w.strip()]
+        odd = [w for w in words if not w or w != w.strip()]
+        found = []
+        for at in range(0, len(plain), 2000):
+            own = plain[at : at + 2000]
+            ids = np.array(self.encode([" " + " ".join(own)])[0], self.dtype)
+            first = np.flatnonzero(self.starts_blank[ids])
+            found.append((ids, np.diff(np.append(first, len(ids)))) if len(first) == len(own) else self.each([" " + w for w in own]))
+        found.append(self.each([" " + w for w in odd]))
+        self.known.update(zip(plain + odd, self.add(*map(np.concatenate, zip(*found, strict=True))), strict=True))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each followed by END; ids of each text)."""
-        if len(self.known) > PIECES:
-            self.known, self.ids = {}, []
         texts = pc.fill_null(texts, "")
         wide = pc.match_substring_regex(texts, _WIDE)
         split = pc.split_pattern(pc.if_else(wide, "", texts), " ")
-        offsets = split.offsets.to_numpy()
-        values = split.values.slice(offsets[0], offsets[-1] - offsets[0])
-        offsets = offsets - offsets[0]
-        coded = values.dictionary_encode()
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets -= offsets[0]
         words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        plain = self.numbers(words)  # a text's first piece has no blank before it
-        spaced = self.numbers([" " + w for w in words])
-        number = spaced[code]
-        firsts = offsets[:-1][np.diff(offsets) > 0]
-        number[firsts] = plain[code[firsts]]
-        whole = np.flatnonzero(wide.to_numpy(zero_copy_only=False))
-        used, number = np.unique(number, return_inverse=True) if len(number) else (number, number)
-        flat = [self.ids[i] for i in used.tolist()]
-        size = np.array([len(x) for x in flat], np.int64)
-        pool = np.concatenate(flat) if flat else np.empty(0, np.uint32)
-        at = np.cumsum(size) - size
-        length = size[number] if len(number) else np.empty(0, np.int64)
-        ends = np.append(0, np.cumsum(length))
-        source = np.repeat(at[number] - ends[:-1], length) + np.arange(ends[-1]) if len(number) else np.empty(0, np.int64)
-        ids = pool[source]
-        per_text = ends[offsets[1:]] - ends[offsets[:-1]]
-        if len(whole):
-            parts = np.split(ids, np.cumsum(per_text)[:-1])
-            for i, own in zip(whole.tolist(), self.encode([texts[i].as_py() for i in whole.tolist()]), strict=True):
-                parts[i], per_text[i] = np.array(own, np.uint32), len(own)
-            ids = np.concatenate(parts)
-        stops = np.cumsum(per_text)
-        return np.insert(ids, stops, END).astype(np.uint32), per_text + 1
+        if len(self.end) > PIECES:
+            self.forget()
+        self.learn([w for w in words if w not in self.known])
+        number = np.array(list(map(self.known.__getitem__, words)), np.int64)[code]
+        # A text's first piece has no blank before it; a wide text is its own first piece.
+        whole = wide.to_numpy(zero_copy_only=False)
+        number[offsets[:-1]] = self.add(*self.each([texts[i].as_py() if whole[i] else words[code[offsets[i]]] for i in range(len(texts))]))
+        number = np.insert(number, offsets[1:], 0)
+        size = np.diff(self.end)[number]
+        ends = np.append(0, np.cumsum(size))
+        ids = self.pool[np.repeat(self.end[number] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, np.diff(ends[offsets + np.arange(len(offsets))])
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder to a Python worker: its memory serves all tasks that the worker runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 SHARD_SCHEMA = "shard long, n_docs long, n_tokens long, doc_ids array<long>, ends array<long>, width int, planes binary"
@@ -134,18 +155,17 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shards: int, id_col
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, ids, tokens, sizes = Encoder(tokenizer), [], [], []
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found, size = encoder.batch(batch.column(1))
-                ids.append(batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else batch.column(0))
-                tokens.append(found.astype(np.uint16) if encoder.tokenizer.get_vocab_size() <= 1 << 16 else found)
+        own, ids, tokens, sizes = encoder(tokenizer), [], [], []
+        for batch in batches:
+            for low, high in slices(batch.column(1), 4 << 20):
+                found, size = own.batch(batch.column(1)[low:high])
+                ids.append(batch.column(0)[low:high])
+                tokens.append(found)
                 sizes.append(size)
         if not ids:
             return
         every, ends = np.concatenate(tokens), np.cumsum(np.concatenate(sizes))
-        names = pa.chunked_array([pa.array(x, pa.int64()) if isinstance(x, np.ndarray) else x for x in ids]).combine_chunks()
+        names = pa.concat_arrays(ids)
         width = max(1, int(every.max()).bit_length())
         data = pack(WaveletMatrix.of(every, width))
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (names, pa.array(ends))]
