@@ -228,7 +228,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Pages are parsed twice, for the tree and for the text, rather than stored between. Paths
     that pages drop by declaration need no tree; the others of low importance are few, and
     broadcast while they number at most BROADCAST_PATHS, else joined by host."""
-    low = tree(page_blocks(pages)).where((F.col("importance") < IMPORTANCE) & ~F.coalesce("dropped", F.lit(False))).select("host", "path")
+    low = tree(keep(page_blocks(pages), "page-blocks")).where((F.col("importance") < IMPORTANCE) & ~F.coalesce("dropped", F.lit(False))).select("host", "path")
     low = keep(low, "template")
     template = low.groupBy("host").agg(F.collect_set("path").alias("template"))
     if low.count() <= BROADCAST_PATHS:
