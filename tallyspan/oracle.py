@@ -51,6 +51,9 @@ exact AS MATERIALIZED (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SEL
 lb AS MATERIALIZED (SELECT pb.* FROM pb ANTI JOIN (SELECT bank_id AS id FROM exact) USING (id)),
 ll AS MATERIALIZED (SELECT pl.* FROM pl ANTI JOIN (SELECT ledger_id AS id FROM exact) USING (id))"""
 
+#: The same with the ledger's amounts under the other sign.
+TURNED = EXACT.replace("pl AS MATERIALIZED (SELECT *,", "pl AS MATERIALIZED (SELECT * REPLACE (-amount AS amount),", 1)
+
 EDGES = f"""{EXACT},
 e0 AS MATERIALIZED (SELECT * FROM (SELECT b.id AS bank_id, l.id AS ledger_id, {SIMILARITY} AS similarity, {CORROBORATION} AS corroboration, abs(b.amount - l.amount) AS amount_gap, abs(date_diff('day', b.date, l.date)) AS date_gap, b.ord AS bank_ord, l.ord AS ledger_ord
     FROM lb b JOIN ll l ON (b.amount > 0) = (l.amount > 0) AND abs(date_diff('day', b.date, l.date)) <= 7 AND {FEE}) WHERE similarity >= 0.35)"""
@@ -151,7 +154,7 @@ SQL: dict[str, str] = {
     "run_history": "SELECT o_custkey::BIGINT AS client_id, o_orderkey::BIGINT AS run_id, o_orderdate::DATE AS created, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders",
     "retention_purge": "SELECT l_orderkey::BIGINT AS run_id, count(*)::BIGINT AS documents FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01') GROUP BY l_orderkey",
     "cosine_topk": "WITH v AS (SELECT vec_id::BIGINT AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings), s AS (SELECT q.id AS query, o.id AS found, round(list_inner_product(q.u, o.u), 9) AS score FROM v q JOIN v o ON q.id % 100 = 0 AND o.id % 2 = 1) SELECT query, found, round(score, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, found) AS place FROM s) WHERE place <= 3",
-    "ledger_convention": f"WITH {EXACT} SELECT 'credit_is_inflow' AS name, count_if(similarity >= 0.35)::BIGINT AS score, true AS chosen, false AS ambiguous FROM exact UNION ALL SELECT 'debit_is_inflow', 0, false, false",
+    "ledger_convention": f"WITH s AS (SELECT 'credit_is_inflow' AS name, (SELECT count_if(similarity >= 0.35) FROM (WITH {EXACT} SELECT * FROM exact))::BIGINT AS score UNION ALL SELECT 'debit_is_inflow', (SELECT count_if(similarity >= 0.35) FROM (WITH {TURNED} SELECT * FROM exact))::BIGINT) SELECT name, score, score = (SELECT max(score) FROM s) AS chosen, (SELECT count(DISTINCT score) FROM s) = 1 AS ambiguous FROM s",
     "layout_parse": f"WITH {BASE} SELECT customer::VARCHAR AS file_name, row_number() OVER (PARTITION BY customer ORDER BY d, k) AS ord, d AS date, a AS amount, 'NEFT/N' || lpad(k::VARCHAR, 8, '0') || '/' || upper(p) || CASE WHEN k % 3 = 0 THEN ' invoice ' || p ELSE '' END AS description, 'N' || k AS reference, 'N' || lpad(k::VARCHAR, 8, '0') AS alt, 'ok' AS status FROM payments",
     "sheet_ingest": f"WITH {BASE} SELECT date, amount, description, reference, count(*)::BIGINT AS n FROM ledger GROUP BY ALL",
 }
