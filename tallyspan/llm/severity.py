@@ -126,7 +126,7 @@ def gradient(w: np.ndarray, cuts: np.ndarray, own: np.ndarray, doc: np.ndarray,
 
 def grades_of(labels: DataFrame) -> DataFrame:
     """doc_id and grade of labelled documents."""
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 1, 1).when(F.col("quality") == 0, 2)
+    grade = F.when(F.col("toxic") == 0, 0).when((F.col("toxic") == 1) & (F.col("quality") == 1), 1).when((F.col("toxic") == 1) & (F.col("quality") == 0), 2)
     return labels.select("doc_id", grade.alias("grade")).dropna().groupBy("doc_id").agg(F.max("grade").alias("grade"))
 
 
