@@ -14,11 +14,11 @@ the mean count of distinct words in a document, however many documents there are
 
 Steps: (1) document frequencies of words; (2) samples of each document; documents with equal
 words are one text from here on, represented by the least id; (3) texts that share a band are
-compared with the least text of its bucket (a star, not all pairs); (4) texts that share a
-bucket of up to CROWD texts but no class yet are compared pair by pair; (5) texts that share a
-larger bucket and no class yet (say, a passage that makes up half of many) get many more
-samples in longer bands, which only really similar texts share, and steps 3 and 4 again; (6)
-components of the links, by rounds that are written to the shared folder.
+compared with the least text of its bucket (a star, not all pairs); (4) all texts that share a
+bucket but no class yet are compared, however many there are: a bucket is dealt in blocks of
+two chunks, a block's texts travel once, and its pairs are formed inside the task, where those
+whose total weights differ too much for SIMILARITY are passed over; (5) components of the
+links, by rounds that are written to the shared folder.
 
 Defined results: documents without words are each a class of their own; texts of one to four
 words have one shingle, all their words; repeated rows (same id) get one row each with equal
@@ -41,11 +41,9 @@ from .words import Words, mix, slices, windows
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
-#: Texts of a band's bucket that has more than CROWD of them are banded anew, more finely:
-#: a pair then shares a band with probability 0.99 at similarity 0.85, 0.84 at 0.8, 0.19 at
-#: 0.7 and 0.001 at 0.5, besides what stars and smaller buckets have found.
-CROWD = 32
-FINE_BANDS, FINE_ROWS = 64, 16
+#: A block compares two chunks of a bucket, each of about CROWD texts and CROWD_BYTES at most.
+CROWD = 1024
+CROWD_BYTES = 4 << 20
 RARE = 64
 
 
@@ -265,54 +263,109 @@ def stars(members: DataFrame) -> DataFrame:
     return members.where("text_id <> least").select(F.col("text_id").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b), b < a, of texts that share a bucket but no label."""
-    named = members.join(labels, "text_id", "left").select("band", "code", "text_id", "least", F.coalesce("label", "text_id").alias("label"))
-    spread = named.groupBy("band", "code").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "code")
-    left = keep(named.join(spread, ["band", "code"], "left_semi").where("text_id <> least"), "open")
-    right = left.select("band", "code", F.col("text_id").alias("other"), F.col("label").alias("other_label"))
-    pairs = left.join(right, ["band", "code"]).where("text_id < other AND label <> other_label")
-    return pairs.select(F.col("other").alias("a"), F.col("text_id").alias("b")).distinct()
+def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, code, text_id, label and main (the label of most of the bucket's texts) of buckets
+    whose texts have several labels. Of buckets of the same texts one is enough, and a bucket
+    of two is settled by its star."""
+    named = keep(members.where("n > 2").join(labels, "text_id", "left").select("band", "code", "text_id", F.coalesce("label", "text_id").alias("label")), "named")
+    mark = F.xxhash64("text_id")
+    of_label = named.groupBy("band", "code", "label").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("y"))
+    spread = of_label.groupBy("band", "code").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    spread = spread.where("labels > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "code", "main")).alias("one")).select("one.*")
+    return named.join(keep(spread, "spread"), ["band", "code"])
+
+
+def block_links(rows: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
+    """Links (a, b, similarity), b < a, that join all labels of open buckets whose texts are
+    alike by SIMILARITY. A pair of different labels has a text that is not of the main label:
+    chunks of those ask, and chunks of all texts answer. texts: text_id, text."""
+    rows = rows.join(texts.select("text_id", F.octet_length("text").alias("size")), "text_id")
+    rows = keep(rows, "open")
+    chunks = lambda n, size: F.greatest(F.ceil(n / CROWD), F.ceil(size / CROWD_BYTES), F.lit(1)).cast("int")
+    minor = F.col("label") != F.col("main")
+    counts = rows.groupBy("band", "code").agg(chunks(F.count_if(minor), F.sum(F.when(minor, F.col("size")))).alias("asking"), chunks(F.count("*"), F.sum("size")).alias("asked"))
+    rows = rows.join(keep(counts, "chunks"), ["band", "code"])
+    own = lambda n: F.pmod(F.xxhash64("text_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["band", "code", "text_id", "label"]
+    asked = rows.select(*columns, F.lit(False).alias("asks"), every("asking").alias("q"), own("asked").alias("t"))
+    asking = rows.where(minor).select(*columns, F.lit(True).alias("asks"), own("asking").alias("q"), every("asked").alias("t"))
+    dealt = asked.unionByName(asking).join(texts, "text_id")
+
+    def compare(block: pa.Table) -> pa.Table:
+        found = links_of_block(*(block[c].to_pylist() for c in ("text_id", "label", "asks")), block["text"].combine_chunks(), idf)
+        return pa.table([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+    return dealt.groupBy("band", "code", "q", "t").applyInArrow(compare, "a long, b long, similarity double")
+
+
+def links_of_block(ids: list[int], labels: list[int], asks: list[bool], texts: pa.Array, idf: Idf) -> list[tuple[int, int, float]]:
+    """Links of one block: each joins two labels that no link before it has joined."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks)
+    place = {name: i for i, name in enumerate(ids)}  # a text can be in both chunks
+    sets: dict[int, tuple] = {}
+    for low, high in slices(texts):
+        found = Words(texts[low:high])
+        for i in range(high - low):
+            if place[ids[low + i]] == low + i:
+                sets[ids[low + i]] = shingles(found.of(i), idf)
+    total = {name: float(own[1].sum(dtype=np.float64)) for name, own in sets.items()}
+    parent = {label: label for label in labels}
+
+    def root(label):
+        while parent[label] != label:
+            parent[label] = label = parent[parent[label]]
+        return label
+
+    of = dict(zip(ids, labels, strict=True))
+    asked = sorted({name for name, ask in zip(ids, asks, strict=True) if not ask}, key=total.__getitem__)
+    asking = sorted({name for name, ask in zip(ids, asks, strict=True) if ask})
+    if not asked or not asking:
+        return []
+    sums = np.array([total[name] for name in asked])
+    names, at = np.unique(np.concatenate([sets[name][0] for name in asked]), return_inverse=True)
+    weights = np.concatenate([sets[name][1] for name in asked]).astype(np.float64)
+    first = np.append(0, np.cumsum([len(sets[name][0]) for name in asked]))
+    dense, out = np.zeros(len(names)), []
+    for name in asking:
+        # more than SIMILARITY apart in total weight is more than that apart; the margin is for rounding
+        low = int(np.searchsorted(sums, total[name] * SIMILARITY * (1 - 1e-9)))
+        high = int(np.searchsorted(sums, total[name] / SIMILARITY * (1 + 1e-9), "right"))
+        mine = root(of[name])
+        if all(root(of[other]) == mine for other in asked[low:high]):
+            continue
+        own, weight = sets[name]
+        where = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        same = names[where] == own
+        dense[where[same]] = weight[same]
+        part = slice(first[low], first[high])
+        shared = np.add.reduceat(np.minimum(dense[at[part]], weights[part]), first[low:high] - first[low])
+        dense[where[same]] = 0
+        alike = shared / (total[name] + sums[low:high] - shared)
+        for i in np.flatnonzero(alike >= SIMILARITY).tolist():
+            other = asked[low + i]
+            x, y = root(of[name]), root(of[other])
+            if x != y:
+                parent[x] = y
+                out.append((max(name, other), min(name, other), float(alike[i])))
+    return out
 
 
 def classes_of(texts: DataFrame, docs: DataFrame, idf: Idf, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """text_id and label of all texts that are linked to another. Stars first; then pairs
-    within buckets of up to CROWD texts, so at most CROWD for each text and band; texts of
-    larger buckets that stars have not put in one class are banded more finely, and go
-    through stars and pairs of their fine buckets."""
-    spark = texts.sparkSession
-    links = spark.createDataFrame([], "a long, b long, similarity double")
-    compared, labels = links.select("a", "b"), spark.createDataFrame([], "text_id long, label long")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The labels after comparing the pairs that have not been compared before."""
-        nonlocal links, compared, labels
-        fresh = keep(pairs.join(compared, ["a", "b"], "left_anti").select("a", "b"), "pairs")
-        if fresh.limit(1).count():
-            found = keep(verify(fresh, docs, idf, id_column, text), "compared")
-            compared, new = compared.unionByName(found.select("a", "b")), found.where(F.col("similarity") >= SIMILARITY)
-            if new.limit(1).count():
-                links = links.unionByName(new)
-                labels = components(links).withColumnRenamed("id", "text_id")
-        return labels
-
+    """text_id and label of all texts that are linked to another: stars first, then all pairs
+    of the buckets whose texts stars have not put in one class, in blocks."""
     members = bucketed(texts)
-    labels = linked(stars(members))
-    small = members.where(F.col("n") <= CROWD)
-    labels = linked(across(small, labels))
-    named = members.where(F.col("n") > CROWD).join(labels, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
-    spread = named.groupBy("band", "code").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "code")
-    crowded = keep(named.join(spread, ["band", "code"], "left_semi").select("text_id").distinct(), "crowded")
-    if not crowded.limit(1).count():
+    found = keep(verify(stars(members), docs, idf, id_column, text), "compared")
+    links = found.where(F.col("similarity") >= SIMILARITY)
+    labels = components(links).withColumnRenamed("id", "text_id")
+    rows = keep(open_buckets(members, labels), "open-buckets")
+    own = docs.select(F.col(id_column).cast("long").alias("text_id"), F.col(text).cast("string").alias("text")).join(rows.select("text_id").distinct(), "text_id", "left_semi")
+    own = keep(own.groupBy("text_id").agg(F.min("text").alias("text")), "open-texts")
+    more = keep(block_links(rows, own, idf), "block-links")
+    if not more.limit(1).count():
         return labels
-    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(crowded, F.col("doc_id") == F.col("text_id"), "left_semi")
-    fine = signatures(own.repartition("doc_id"), idf, n_bands=FINE_BANDS, rows=FINE_ROWS).dropDuplicates(["doc_id"])
-    fine = keep(fine.select(F.col("doc_id").alias("text_id"), "bands"), "fine")
-    members = bucketed(fine)
-    linked(stars(members))
-    greatest = members.groupBy("band", "code").agg(F.max("text_id").alias("most"))
-    labels = linked(members.join(greatest, ["band", "code"]).where("text_id <> most").select(F.col("most").alias("a"), F.col("text_id").alias("b")).distinct())
-    return linked(across(members, labels))
+    return components(links.select("a", "b").unionByName(more.select("a", "b"))).withColumnRenamed("id", "text_id")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

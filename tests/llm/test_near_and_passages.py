@@ -69,6 +69,26 @@ def test_crowded_buckets_go_on_finely(spark, rows, monkeypatch):
     assert {found[100 + i] for i in range(60)} == {0} and all(found[300 + i] == 300 + i for i in range(50))
 
 
+def test_no_similar_pair_of_a_crowded_bucket_is_lost(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyspan.llm.words import Words
+
+    rng, rows = random.Random(9), []
+    idf = weighted_minhash.Idf(np.empty(0, np.uint64), np.empty(0, np.int64), 1)
+    while len(rows) < 200:  # pairs alike by 0.80 to 0.83, all in one bucket
+        base = prose(rng, 150)
+        copy = edited(rng, base, 3)
+        found = Words(pa.array([base, copy]))
+        if 0.8 <= weighted_minhash.weighted_jaccard(*(weighted_minhash.shingles(found.of(i), idf) for i in (0, 1))) <= 0.83:
+            rows += [(len(rows), base), (len(rows) + 1, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select(F.col("doc_id").alias("text_id"), F.array(F.lit(1).cast("long")).alias("bands"))
+    got = {r.text_id: r.label for r in weighted_minhash.classes_of(texts, docs, idf).collect()}
+    assert got == {i: i - i % 2 for i in range(200)}
+
+
 def test_samples_agree_as_often_as_sets_are_alike():
     import numpy as np
 
