@@ -13,7 +13,8 @@ the IDF of one in RARE, so the words that need a number of their own are at most
 the mean count of distinct words in a document, however many documents there are.
 
 Steps: (1) document frequencies of words; (2) samples of each document; documents with equal
-words are one text from here on, represented by the least id; (3) texts that share a band are
+words are one text from here on, named by 64 of the 128 bits of their hash, not by a document's
+id, which several texts may share; (3) texts that share a band are
 compared with the least text of its bucket (a star, not all pairs); (4) all texts that share a
 bucket but no class yet are compared, however many there are: a bucket is dealt in blocks of
 two chunks, a block's texts travel once, and its pairs are formed inside the task, where those
@@ -22,8 +23,9 @@ links, by rounds that are written to the shared folder.
 
 Defined results: documents without words are each a class of their own; texts of one to four
 words have one shingle, all their words; repeated rows (same id) get one row each with equal
-classes; null ids count as documents and are classed under null's own row only when their
-text has a smaller-id copy; an empty table gives an empty result; extra columns are ignored.
+classes; different texts under one id are classed apart; rows with a null id are classed like
+others, and a class of such rows alone has a null class_id; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import keep, read
 from .words import Words, mix, slices, windows
@@ -174,6 +177,30 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[Idf, int]
     return Idf(common["word"].to_numpy().view(np.uint64), common["n"].to_numpy(), total), total
 
 
+def text_hash(words: np.ndarray) -> tuple[int, int]:
+    """128 bits of a text's words in order."""
+    with np.errstate(over="ignore"):
+        place = mix(np.arange(1, len(words) + 1, dtype=np.uint64))
+        return int(np.bitwise_xor.reduce(mix(words + place)).view(np.int64)), int((mix(words ^ place) * np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64))
+
+
+def with_hash(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with _hi and _lo, the text's hash; null without words."""
+    names = [*docs.columns, "_hi", "_lo"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            for low, high in slices(texts):
+                found = Words(texts[low:high])
+                own = [text_hash(found.of(i)) if len(found.of(i)) else (None, None) for i in range(high - low)]
+                rows = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *(pa.array([x[k] for x in own], pa.int64()) for k in (0, 1))], names)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_hi", T.LongType()), T.StructField("_lo", T.LongType())])
+    return docs.select("*", F.col(text).cast("string").alias("_text")).mapInArrow(add, schema)
+
+
 def signatures(docs: DataFrame, idf: Idf, id_column: str = "doc_id", text: str = "text", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, text_hi and text_lo (128 bits of its words; null without words), bands."""
 
@@ -188,10 +215,9 @@ def signatures(docs: DataFrame, idf: Idf, id_column: str = "doc_id", text: str =
                     if not len(words):
                         hi.append(None), lo.append(None), bands.append(None)
                         continue
+                    for held, part in zip((hi, lo), text_hash(words), strict=True):
+                        held.append(part)
                     with np.errstate(over="ignore"):
-                        place = mix(np.arange(1, len(words) + 1, dtype=np.uint64))
-                        hi.append(int(np.bitwise_xor.reduce(mix(words + place)).view(np.int64)))
-                        lo.append(int((mix(words ^ place) * np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64)))
                         codes = sampler.sample(*shingles(words, idf)).reshape(n_bands, rows)
                         band = np.zeros(n_bands, np.uint64)
                         for r in range(rows):
@@ -202,13 +228,10 @@ def signatures(docs: DataFrame, idf: Idf, id_column: str = "doc_id", text: str =
     return docs.select(F.col(id_column).cast("long"), F.col(text).cast("string")).mapInArrow(sign, "doc_id long, text_hi long, text_lo long, bands array<long>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, idf: Idf, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs (a, b) with their exact weighted Jaccard similarity. Only texts that are in
-    a pair are shuffled; a hot text's pairs are split between tasks by the skew join."""
-    ids = pairs.select(F.col("a").alias("_id")).distinct().unionByName(pairs.select(F.col("b").alias("_id")).distinct()).distinct()
-    texts = docs.select(F.col(id_column).cast("long").alias("_doc"), F.col(text).cast("string").alias("_text")).join(ids, F.col("_doc") == F.col("_id"), "left_semi")
-    texts = keep(texts.groupBy("_doc").agg(F.min("_text").alias("_text")), "pair-texts")
-    both = pairs.join(texts.select(F.col("_doc").alias("a"), F.col("_text").alias("text_a")), "a").join(texts.select(F.col("_doc").alias("b"), F.col("_text").alias("text_b")), "b")
+def verify(pairs: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
+    """The pairs (a, b) with their exact weighted Jaccard similarity. texts: text_id, text. A
+    hot text's pairs are split between tasks by the skew join."""
+    both = pairs.join(texts.select(F.col("text_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("text_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}  # of the pairs before: a hot text's pairs follow each other
@@ -352,42 +375,63 @@ def links_of_block(ids: list[int], labels: list[int], asks: list[bool], texts: p
     return out
 
 
-def classes_of(texts: DataFrame, docs: DataFrame, idf: Idf, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def classes_of(texts: DataFrame, named: DataFrame, idf: Idf) -> DataFrame:
     """text_id and label of all texts that are linked to another: stars first, then all pairs
-    of the buckets whose texts stars have not put in one class, in blocks."""
+    of the buckets whose texts stars have not put in one class, in blocks. texts: text_id,
+    bands; named: text_id, text, of rows that may repeat a text."""
     members = bucketed(texts)
-    found = keep(verify(stars(members), docs, idf, id_column, text), "compared")
+    own = named.join(members.select("text_id").distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.min("text").alias("text"))
+    own = keep(own, "bucket-texts")
+    found = keep(verify(stars(members), own, idf), "compared")
     links = found.where(F.col("similarity") >= SIMILARITY)
     labels = components(links).withColumnRenamed("id", "text_id")
     rows = keep(open_buckets(members, labels), "open-buckets")
-    own = docs.select(F.col(id_column).cast("long").alias("text_id"), F.col(text).cast("string").alias("text")).join(rows.select("text_id").distinct(), "text_id", "left_semi")
-    own = keep(own.groupBy("text_id").agg(F.min("text").alias("text")), "open-texts")
     more = keep(block_links(rows, own, idf), "block-links")
     if not more.limit(1).count():
         return labels
     return components(links.select("a", "b").unionByName(more.select("a", "b"))).withColumnRenamed("id", "text_id")
 
 
+def classed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hi, text_lo of every row; text_hi, text_lo, label, first (the least id,
+    text of its class, null ids last), text_id and class_texts of every text with words)."""
+    idf, _ = document_frequencies(docs, text)
+    signed = keep(signatures(docs, idf, id_column, text), "signatures")
+    texts = signed.where("bands IS NOT NULL").groupBy("text_hi", "text_lo").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("least"))
+    texts = keep(texts.withColumn("text_id", F.col("text_hi")), "texts")
+    named = with_hash(docs.select(F.col(text).cast("string").alias("text"))).select(F.col("_hi").alias("text_id"), "text")
+    labels = classes_of(texts.select("text_id", "bands"), named, idf)
+    classes = texts.join(labels, "text_id", "left").select("text_hi", "text_lo", F.col("least").alias("text_id"), F.coalesce("label", "text_id").alias("label"))
+    first = F.min(F.struct(F.col("text_id").isNull().alias("no_id"), "text_id", "text_hi", "text_lo")).alias("first")
+    sizes = classes.groupBy("label").agg(F.count("*").alias("class_texts"), first)
+    return signed.select("doc_id", "text_hi", "text_lo"), keep(classes.join(sizes, "label"), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), text_id (the least
     id with the same words) and class_texts (different texts in the class)."""
-    idf, _ = document_frequencies(docs, text)
-    signed = keep(signatures(docs, idf, id_column, text), "signatures")
-    worded = signed.where("bands IS NOT NULL AND doc_id IS NOT NULL")
-    texts = keep(worded.groupBy("text_hi", "text_lo").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("text_id")), "texts")
-    labels = classes_of(texts.select("text_id", "bands"), docs, idf, id_column, text)
-    classes = texts.join(labels, "text_id", "left").select("text_hi", "text_lo", "text_id", F.coalesce("label", "text_id").alias("class_id"))
-    sizes = classes.groupBy("class_id").agg(F.count("*").alias("class_texts"))
-    classes = classes.join(sizes, "class_id")
-    rows = signed.select("doc_id", "text_hi", "text_lo").join(classes, ["text_hi", "text_lo"], "left")
-    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
+    signed, classes = classed(docs, id_column, text)
+    rows = signed.join(classes.withColumn("worded", F.lit(True)), ["text_hi", "text_lo"], "left")
+    own = lambda c: F.when(F.col("worded"), F.col(c)).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", own("first.text_id").alias("class_id"), own("text_id").alias("text_id"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that a class member of smaller id represents. Rows that repeat an
-    id stay or go together; rows without an id stay."""
-    gone = near_duplicates(docs, id_column, text).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_column).cast("long") == F.col("_gone"), "left_anti")
+    """One row of docs for each class: that of the least (id, text hash, text), rows without an
+    id last. Rows without words all stay. Rows that repeat the first one are told by their
+    other columns, or any one of them stays; only such rows are shuffled whole."""
+    signed, classes = classed(docs, id_column, text)
+    first = classes.select("first.*").distinct().select(F.col("text_id").alias("_id"), F.col("text_hi").alias("_hi"), F.col("text_lo").alias("_lo"))
+    times = signed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hi").alias("_hi"), F.col("text_lo").alias("_lo")).agg(F.count("*").alias("_n"))
+    first = keep(first.alias("f").join(times.alias("t"), F.expr("f._id <=> t._id AND f._hi = t._hi AND f._lo = t._lo")).select("f.*", "_n"), "first")
+    rows = with_hash(docs, text).withColumn("_id", F.col(id_column).cast("long"))
+    fits = F.expr("r._id <=> f._id AND r._hi = f._hi AND r._lo = f._lo")
+    columns = docs.columns
+    once = rows.alias("r").join(first.where("_n = 1").alias("f"), fits, "left_semi").select(*columns)
+    many = rows.alias("r").join(first.where("_n > 1").alias("f"), fits, "left_semi")
+    tie = F.struct(F.col(text).cast("string"), F.to_json(F.struct(*columns)))
+    many = many.groupBy("_hi", "_lo").agg(F.min_by(F.struct(*columns), tie).alias("_row")).select("_row.*")
+    return once.unionByName(many).unionByName(rows.where("_hi IS NULL").select(*columns))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,10 +85,21 @@ def test_no_similar_pair_of_a_crowded_bucket_is_lost(spark):
             rows += [(len(rows), base), (len(rows) + 1, copy)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     texts = docs.select(F.col("doc_id").alias("text_id"), F.array(F.lit(1).cast("long")).alias("bands"))
-    got = {r.text_id: r.label for r in weighted_minhash.classes_of(texts, docs, idf).collect()}
+    got = {r.text_id: r.label for r in weighted_minhash.classes_of(texts, docs.withColumnRenamed("doc_id", "text_id"), idf).collect()}
     assert got == {i: i - i % 2 for i in range(200)}
 
 
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, a), (3, b), (4, b), (None, c), (None, c), (None, d), (5, d), (6, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(weighted_minhash.keep_one(docs).collect(), key=str)
+    assert kept == sorted([(1, a), (3, b), (None, c), (5, d), (6, ""), (6, "")], key=lambda r: f"Row(doc_id={r[0]}, text={r[1]!r})")
+    found = sorted((r.doc_id or 0, r.class_id or 0, r.text_id or 0, r.class_texts) for r in weighted_minhash.near_duplicates(docs).collect())
+    assert found == sorted([(1, 1, 1, 1)] * 3 + [(2, 1, 1, 1), (3, 1, 1, 1), (3, 3, 3, 1), (4, 3, 3, 1), (0, 0, 0, 1), (0, 0, 0, 1), (0, 5, 5, 1), (5, 5, 5, 1), (6, 6, 6, 1), (6, 6, 6, 1)])
+
+
 def test_samples_agree_as_often_as_sets_are_alike():
     import numpy as np
 
