@@ -3,7 +3,8 @@
 Entities are found by kind: e-mail addresses, telephone numbers, IPv4 addresses, payment card
 numbers, social security numbers, IBANs, secrets (access keys, password and token values) and
 names of persons after a form of address or a known given name of five letters or more
-(shorter ones are words of many languages). Every entity has a canonical
+(shorter ones are words of many languages); a name found so is also found wherever it stands
+alone in the same text, capitalised (initials excepted). Every entity has a canonical
 form (lower case, digits alone, ...). Its surrogate is drawn from HMAC(key, kind, canonical,
 attempt) and put into the mention's own format: separators, letter case, country code, card
 brand and check digits, label count; names keep script and gender, and given and family names
@@ -73,6 +74,7 @@ PATTERNS: dict[str, str] = {
     "address_name": rf"(?<!\w)(?P<title>{'|'.join(sorted(ADDRESS, key=len, reverse=True))})\.?[ ](?P<person>{_NAME}(?:[ ]{_NAME})?)",
     "given_name": rf"(?<!\w)(?P<given>{'|'.join(name for names in GIVEN.values() for name in names if len(name) > 4)})[ ](?P<family>{_NAME})",
 }
+_BARE = re.compile(rf"(?<!\w){_WORD}+(?:[-']{_WORD}+)*(?!\w)")
 _FIND = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
 #: Texts in which none of this occurs hold no entity; RE2 passes over them at memory speed.
 #: Each pattern needs one of them: a digit of any script, @, the prefix of an access key, the
@@ -124,6 +126,12 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 add(*m.span("family"), f"family:{script(m['family'])}", m["family"].casefold())
             else:
                 add(*m.span(), kind, m[0].lower() if kind == "email" else m[0])
+    names = {text[start:end].casefold(): kind for start, end, kind, _ in sorted(found, reverse=True) if end - start > 1 and kind.startswith(("given:", "family:"))}
+    for m in _BARE.finditer(text) if names else ():
+        whole = m[0].casefold() in names
+        for part in [m] if whole else re.compile(rf"{_WORD}+").finditer(text, *m.span()):
+            if part[0][0].isupper() and (kind := names.get(part[0].casefold())):
+                add(*part.span(), kind, part[0].casefold())
     return sorted(found)
 
 

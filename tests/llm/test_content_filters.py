@@ -46,6 +46,16 @@ def test_hint_passes_every_entity():
     assert surrogates._hinted(pa.array(["nothing here", None])) == [False, False]
 
 
+def test_bare_mentions_of_a_name_are_found(spark):
+    said = "Ms Ruth Hale called. Hale said that Ruth's bill (HALE, Hale-Ford) was hale; Whale and Hales were not. Mr A came. A man left."
+    found = surrogates.entities(said)
+    assert [said[a:b] for a, b, *_ in found] == ["Ruth", "Hale", "Hale", "Ruth", "HALE", "Hale", "A"]
+    (row,) = surrogates.replace(spark.createDataFrame([(1, said)], "doc_id long, text string")).collect()
+    given, family = (surrogates.surrogate(surrogates.KEY, kind, name) for _, _, kind, name in found[:2])
+    assert row.n_entities == 7 and "Ruth" not in row.text and "Hale " not in row.text and "HALE" not in row.text
+    assert f"called. {family.capitalize()} said that {'-'.join(p.capitalize() for p in given.split('-'))}'s bill ({family.upper()}, " in row.text
+
+
 def test_no_documents_no_surrogates(spark):
     assert surrogates.replace(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
