@@ -1,18 +1,18 @@
-"""Token ids in wavelet matrices, one compressed file to a shard.
+"""Token ids in wavelet matrices, compressed shards in Spark's own files.
 
-Documents are range-sorted by id; every partition is a shard and encodes its whole texts with
-a public tokenizer, ends each document with END and stores the ids of all as a wavelet matrix:
-bit planes with rank and select, so one file answers token access, counting and occurrence
-lookup. A file is a Parquet part of one row, written by Spark and thus to any store:
+Documents are range-sorted by id (ties by a hash of the text, so that equal or null ids can be
+split); a task encodes its whole texts with a public tokenizer, ends each document with END and
+stores the ids of about every SHARD_BYTES of text as one wavelet matrix: bit planes with rank
+and select, so a shard answers token access, counting and occurrence lookup. Shards are rows of
+Parquet files, written by Spark and thus to any store:
 
-    shard long, n_docs long, n_tokens long, doc_ids array<long>, ends array<long> (running
-    count of ids at each document's end), width int (bits an id), planes binary
-    (all planes' 64-bit words, zstd-compressed)
+    part long, shard long (order within the part), n_docs long, n_tokens long,
+    doc_ids array<long>, ends array<long> (running count of ids at each document's end),
+    width int (bits an id), planes binary (all planes' 64-bit words, zstd-compressed)
 
-Encoding splits a text before every single blank that follows something other than white
-space: the tokenizer's own pattern always cuts there, so the pieces' ids joined are the whole
-text's ids. A piece is encoded once per worker, however often it occurs. Texts in which a blank
-follows white space are encoded whole.
+Encoding cuts a text where the tokenizer's own pattern always ends a match, whatever follows
+(see `cuts`): the pieces' ids joined are the whole text's ids. A distinct piece is encoded once
+per worker while the worker's memory of pieces, which is bounded by PIECES, holds it.
 
 Defined results: a null or empty text has the END id alone; null ids sort first; rows that
 repeat an id are separate documents in the order of their texts' hashes; very long texts are
@@ -32,15 +32,23 @@ from pyspark.sql import functions as F
 
 from .tables import read, shared_path
 from .wavelet import BitVector, WaveletMatrix
-from .words import slices
+from .words import mix, slices, text_bytes
 
 END = 0
-#: Bytes of text to a shard.
+#: Bytes of text to a shard, and the most range partitions: beyond, a partition has more shards.
 SHARD_BYTES = 16 << 20
-#: Pieces whose ids a Python worker keeps at most before it starts anew: about 250 MB.
-PIECES = 3 << 19
-#: A blank after white space, in any script.
-_WIDE = r"[\pZ\x09-\x0d\x1c-\x1f\x85] "
+PARTITIONS = 20_000
+#: Pieces whose ids a Python worker keeps at most before it starts anew, at 30 to 40 bytes each.
+PIECES = 1 << 20
+#: Bytes that are cut into pieces at once.
+SLICE_BYTES = 4 << 20
+
+#: Kinds of bytes: other ASCII, letters and digits, the blank, white space, separators 28 to
+#: 31 (which not all patterns take for white space), and bytes of non-ASCII characters.
+OTHER, ALNUM, BLANK, SPACE, SEPARATOR, WIDE = range(6)
+_KIND = np.zeros(256, np.uint8)
+for _low, _high, _kind in ((48, 58, ALNUM), (65, 91, ALNUM), (97, 123, ALNUM), (9, 14, SPACE), (28, 32, SEPARATOR), (32, 33, BLANK), (128, 256, WIDE)):
+    _KIND[_low:_high] = _kind
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -49,10 +57,50 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places where pieces begin, and the end of data. A byte-level pattern of the form
+    'contraction | blank? letters | blank? digits | blank? others | white space' ends a match
+    at each of them and looks no further: after a letter or digit before any other ASCII byte;
+    before a blank that follows no white space; between other bytes and a letter or digit, but
+    for the apostrophe of a contraction; around one line end between such bytes."""
+    if not len(data):
+        return np.zeros(1, np.int64)
+    kind = _KIND[data]
+    left, right = kind[:-1], kind[1:]
+    solid = left <= ALNUM
+    cut = np.ones(len(data) + 1, bool)
+    inner = cut[1:-1]
+    np.logical_and(left == ALNUM, (right != ALNUM) & (right != WIDE), out=inner)
+    inner |= (left == OTHER) & ((right == BLANK) | (right == SPACE))
+    inner |= (left == OTHER) & (right == ALNUM) & (data[:-1] != ord("'"))
+    inner[1:] |= solid[:-1] & (left[1:] == SPACE) & (right[1:] <= ALNUM)
+    wide = np.flatnonzero((left == WIDE) & (right == BLANK))
+    if len(wide):
+        # non-ASCII white space (C2 85, C2 A0, and some of E1 to E3 followed by 80, 81, 9A or A0) is no place to cut
+        second, third = data[wide - 1], data[np.maximum(wide - 2, 0)]
+        space = (second == 0xC2) | ((third >= 0xE1) & (third <= 0xE3) & np.isin(second, (0x80, 0x81, 0x9A, 0xA0)))
+        inner[wide[~space]] = True
+    cut[offsets] = True
+    return np.flatnonzero(cut)
+
+
+def pieces_of(data: np.ndarray, begin: np.ndarray) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(np.ascontiguousarray(begin, np.int64)), pa.py_buffer(data)])
+
+
+def hashes(pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of every non-empty piece, in two halves."""
+    offsets = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1]
+    data = np.frombuffer(pieces.buffers()[2], np.uint8)[: offsets[-1]].astype(np.uint64)
+    within = np.arange(len(data), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        value = mix((within << np.uint64(8) | data) + np.uint64(1))
+        return np.add.reduceat(value, offsets[:-1]), np.add.reduceat(mix(value), offsets[:-1])
+
+
 class Encoder:
-    """Texts to ids, with a memory of the pieces that have been encoded. Pieces are text runs
-    between single blanks; fresh ones are encoded many to a call, joined by blanks, and told
-    apart by the tokens that start with a blank: one for each piece, at its start."""
+    """Texts to ids, with a memory of the pieces that have been encoded: sorted hashes of 128
+    bits and the pieces' ids one after another. Fresh pieces are encoded many to a call."""
 
     def __init__(self, path: str):
         import os
@@ -70,14 +118,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Keeps one piece, number 0: the END id."""
-        self.known: dict[str, int] = {}
-        self.pool, self.end = np.array([END], self.dtype), np.array([0, 1])
-
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
-        """The numbers of new pieces."""
-        self.pool = np.concatenate([self.pool, ids])
-        self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(sizes)])
-        return range(len(self.end) - 1 - len(sizes), len(self.end) - 1)
+        self.high, self.low, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.pool, self.end = np.array([END], self.dtype), np.array([0, 1], np.int32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,40 +128,56 @@ class Encoder:
         ids = self.encode(texts)
         return np.array([i for own in ids for i in own], self.dtype), np.array(list(map(len, ids)), np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        """Adds the ids of blank + word for each word."""
-        plain = [w for w in words if w and w == w.strip()]
-        odd = [w for w in words if not w or w != w.strip()]
-        found = []
-        for at in range(0, len(plain), 2000):
-            own = plain[at : at + 2000]
-            ids = np.array(self.encode([" " + " ".join(own)])[0], self.dtype)
+    def learn(self, fresh: pa.LargeBinaryArray) -> np.ndarray:
+        """The numbers of new pieces. Those that hold one blank, at their start, are joined in
+        calls of 2000 and told apart by the tokens that start with a blank."""
+        joined = pc.and_(pc.starts_with(fresh, " "), pc.equal(pc.count_substring(fresh, " "), 1))
+        joined = joined.to_numpy(zero_copy_only=False)
+        order, found = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)]), []
+        together = fresh.take(pa.array(np.flatnonzero(joined)))
+        for at in range(0, len(together), 2000):
+            own = together.slice(at, 2000)
+            data, _ = text_bytes(own)
+            ids = np.array(self.encode([data.tobytes().decode()])[0], self.dtype)
             first = np.flatnonzero(self.starts_blank[ids])
-            found.append((ids, np.diff(np.append(first, len(ids)))) if len(first) == len(own) else self.each([" " + w for w in own]))
-        found.append(self.each([" " + w for w in odd]))
-        self.known.update(zip(plain + odd, self.add(*map(np.concatenate, zip(*found, strict=True))), strict=True))
+            found.append((ids, np.diff(np.append(first, len(ids)))) if len(first) == len(own) else self.each([x.decode() for x in own.to_pylist()]))
+        found.append(self.each([x.decode() for x in fresh.take(pa.array(np.flatnonzero(~joined))).to_pylist()]))
+        ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        number = np.empty(len(fresh), np.int32)
+        number[order] = len(self.end) - 1 + np.arange(len(fresh), dtype=np.int32)
+        self.pool = np.concatenate([self.pool, ids])
+        self.end = np.concatenate([self.end, (self.end[-1] + np.cumsum(sizes)).astype(np.int32)])
+        return number
+
+    def numbers(self, pieces: pa.LargeBinaryArray) -> np.ndarray:
+        """The number of each of some distinct pieces."""
+        high, low = hashes(pieces)
+        at = np.searchsorted(self.high, high)
+        inside = np.minimum(at, max(0, len(self.high) - 1))
+        known = (self.high[inside] == high) & (self.low[inside] == low) if len(self.high) else np.zeros(len(high), bool)
+        number = self.number[inside] if len(self.high) else np.zeros(len(high), np.int32)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            number[fresh] = self.learn(pieces.take(pa.array(fresh)))
+            fresh = fresh[np.argsort(high[fresh])]
+            at = np.searchsorted(self.high, high[fresh])
+            self.high, self.low, self.number = (np.insert(held, at, new[fresh]) for held, new in ((self.high, high), (self.low, low), (self.number, number)))
+        return number
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each followed by END; ids of each text)."""
-        texts = pc.fill_null(texts, "")
-        wide = pc.match_substring_regex(texts, _WIDE)
-        split = pc.split_pattern(pc.if_else(wide, "", texts), " ")
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        offsets -= offsets[0]
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        data, offsets = text_bytes(texts)
+        begin = cuts(data, offsets)
+        coded = pieces_of(data, begin).dictionary_encode()
         if len(self.end) > PIECES:
             self.forget()
-        self.learn([w for w in words if w not in self.known])
-        number = np.array(list(map(self.known.__getitem__, words)), np.int64)[code]
-        # A text's first piece has no blank before it; a wide text is its own first piece.
-        whole = wide.to_numpy(zero_copy_only=False)
-        number[offsets[:-1]] = self.add(*self.each([texts[i].as_py() if whole[i] else words[code[offsets[i]]] for i in range(len(texts))]))
-        number = np.insert(number, offsets[1:], 0)
+        number = self.numbers(coded.dictionary)[coded.indices.to_numpy()] if len(coded.dictionary) else np.empty(0, np.int32)
+        after = np.searchsorted(begin, offsets[1:])
+        number = np.insert(number, after, 0)
         size = np.diff(self.end)[number]
-        ends = np.append(0, np.cumsum(size))
+        ends = np.append(0, np.cumsum(size, dtype=np.int64))
         ids = self.pool[np.repeat(self.end[number] - ends[:-1], size) + np.arange(ends[-1])]
-        return ids, np.diff(ends[offsets + np.arange(len(offsets))])
+        return ids, np.diff(np.append(0, ends[after + np.arange(1, len(texts) + 1)]))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -132,7 +190,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-SHARD_SCHEMA = "shard long, n_docs long, n_tokens long, doc_ids array<long>, ends array<long>, width int, planes binary"
+SHARD_SCHEMA = "part long, shard long, n_docs long, n_tokens long, doc_ids array<long>, ends array<long>, width int, planes binary"
 
 
 def pack(matrix: WaveletMatrix) -> bytes:
@@ -149,41 +207,55 @@ def unpack(planes: bytes, width: int, n: int) -> WaveletMatrix:
     return WaveletMatrix([BitVector(w, n) for w in words], n)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, shards: int, id_column: str = "doc_id", text: str = "text") -> None:
-    """Writes one file a shard under path, in ascending order of ids."""
+def packed(part: int, shard: int, ids: list[pa.Array], tokens: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+    """One shard's row."""
+    every, ends, names = np.concatenate(tokens), np.cumsum(np.concatenate(sizes)), pa.concat_arrays(ids)
+    tokens.clear()
+    width = max(1, int(every.max()).bit_length())
+    data = pack(WaveletMatrix.of(every, width))
+    numbers = [pa.array([x], pa.int64()) for x in (part, shard, len(ends), len(every))]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (names, pa.array(ends))]
+    return pa.RecordBatch.from_arrays([*numbers, *lists, pa.array([width], pa.int32()), pa.array([data])], ["part", "shard", "n_docs", "n_tokens", "doc_ids", "ends", "width", "planes"])
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer: str, parts: int, shard_bytes: int = SHARD_BYTES, id_column: str = "doc_id", text: str = "text") -> None:
+    """Writes the shards of `parts` ranges of ids under path. A shard ends with the first slice
+    of texts that brings it to shard_bytes, so no task holds more than that and one text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, ids, tokens, sizes = encoder(tokenizer), [], [], []
+        own, part, shard, held = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        ids, tokens, sizes = [], [], []
         for batch in batches:
-            for low, high in slices(batch.column(1), 4 << 20):
-                found, size = own.batch(batch.column(1)[low:high])
+            for low, high in slices(batch.column(1), SLICE_BYTES):
+                texts = batch.column(1)[low:high]
+                found, size = own.batch(texts)
                 ids.append(batch.column(0)[low:high])
                 tokens.append(found)
                 sizes.append(size)
-        if not ids:
-            return
-        every, ends = np.concatenate(tokens), np.cumsum(np.concatenate(sizes))
-        names = pa.concat_arrays(ids)
-        width = max(1, int(every.max()).bit_length())
-        data = pack(WaveletMatrix.of(every, width))
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (names, pa.array(ends))]
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([len(every)], pa.int64()), *lists, pa.array([width], pa.int32()), pa.array([data])], ["shard", "n_docs", "n_tokens", "doc_ids", "ends", "width", "planes"])
+                held += pc.sum(pc.binary_length(texts)).as_py() or 0
+                if held >= shard_bytes:
+                    yield packed(part, shard, ids, tokens, sizes)
+                    shard, held = shard + 1, 0
+                    ids, tokens, sizes = [], [], []
+        if ids:
+            yield packed(part, shard, ids, tokens, sizes)
 
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    sorted_rows = rows.repartitionByRange(shards, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
+    order = F.col("_id").asc_nulls_first(), F.xxhash64("_text").asc()
+    sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     sorted_rows.mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def starts(shards: DataFrame) -> DataFrame:
-    """shard and the ids before it. Prefix sums in two levels, so that no task sorts more
-    than 1024 shards' totals and the number of groups of them."""
-    totals = shards.select("shard", "n_tokens", F.floor(F.col("shard") / 1024).alias("group"))
-    groups = totals.groupBy("group").agg(F.sum("n_tokens").alias("n"))
-    groups = groups.select("group", (F.sum("n").over(Window.orderBy("group")) - F.col("n")).alias("before_group"))
-    within = F.sum("n_tokens").over(Window.partitionBy("group").orderBy("shard")) - F.col("n_tokens")
-    return totals.withColumn("within", within).join(groups, "group").select("shard", (F.col("before_group") + F.col("within")).alias("before"))
+    """part, shard and the ids before it. Prefix sums in two levels: over parts, which are
+    PARTITIONS at most, and over the shards of each."""
+    totals = shards.select("part", "shard", "n_tokens")
+    parts = totals.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
+    return totals.withColumn("within", within).join(parts, "part").select("part", "shard", (F.col("before_part") + F.col("within")).alias("before"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -199,11 +271,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 begin = np.append(0, ends[:-1])
                 data, crc = memoryview(ids).cast("B"), zlib.crc32
                 sums = [crc(data[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
-                shard = np.full(len(ends), batch.column("shard")[r].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[r].values, pa.array(shard), pa.array(begin), pa.array(ends - begin), pa.array(sums, pa.int64())], ["doc_id", "shard", "at", "n_tokens", "ids_crc32"])
+                place = [pa.array(np.full(len(ends), batch.column(c)[r].as_py())) for c in ("part", "shard")]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[r].values, *place, pa.array(begin), pa.array(ends - begin), pa.array(sums, pa.int64())], ["doc_id", "part", "shard", "at", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("shard", "n_tokens", "doc_ids", "ends", "width", "planes").mapInArrow(decode, "doc_id long, shard long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(starts(shards), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    rows = shards.select("part", "shard", "n_tokens", "doc_ids", "ends", "width", "planes").mapInArrow(decode, "doc_id long, part long, shard long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(starts(shards), ["part", "shard"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -211,12 +283,12 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, path: str | None = N
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    write_shards(docs, path, tokenizer or tokenizer_path(), max(1, -(-total // shard_bytes)))
+    write_shards(docs, path, tokenizer or tokenizer_path(), min(PARTITIONS, max(1, -(-total // shard_bytes))), shard_bytes)
     return read_documents(spark, path)
 
 
 def lookup(spark: SparkSession, path: str, token: int) -> DataFrame:
-    """shard, doc_id and place of every occurrence of one token: select in each file."""
+    """part, shard, doc_id and place of every occurrence of one token: select in each shard."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +300,10 @@ def lookup(spark: SparkSession, path: str, token: int) -> DataFrame:
                 at = unpack(batch.column("planes")[r].as_buffer().to_pybytes(), width, batch.column("n_tokens")[r].as_py()).occurrences(token)
                 ends = batch.column("ends")[r].values.to_numpy()
                 doc = np.searchsorted(ends, at, "right")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("shard")[r].as_py())), batch.column("doc_ids")[r].values.take(pa.array(doc)), pa.array(at - np.append(0, ends)[doc])], ["shard", "doc_id", "place"])
+                place = [pa.array(np.full(len(at), batch.column(c)[r].as_py())) for c in ("part", "shard")]
+                yield pa.RecordBatch.from_arrays([*place, batch.column("doc_ids")[r].values.take(pa.array(doc)), pa.array(at - np.append(0, ends)[doc])], ["part", "shard", "doc_id", "place"])
 
-    return shards.mapInArrow(find, "shard long, doc_id long, place long")
+    return shards.mapInArrow(find, "part long, shard long, doc_id long, place long")
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

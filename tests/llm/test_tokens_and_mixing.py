@@ -29,6 +29,34 @@ def test_round_trip(spark, tmp_path):
     assert token_shards.tokenize(docs.limit(0)).count() == 0
 
 
+def test_pieces_encode_as_whole_texts():
+    import random
+
+    import pyarrow as pa
+
+    own, rng = token_shards.Encoder(token_shards.tokenizer_path()), random.Random(1)
+    some = [*"ab's.t,!? \n\t\r 12  '\x1c\x0b\x00_-#<|>", *"é\u2003\xa0“”\u3000日٣\x85½😀\u200b", "n't", "'ll", "<|endoftext|>", " ", " the", "\n\n"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 40))) for _ in range(20_000)] + ["", "  ", "x" * 5000]
+    for at in range(0, len(texts), 4000):
+        part = texts[at : at + 4000]
+        ids, sizes = own.batch(pa.array([t or None for t in part]))
+        want = [[*e.ids, token_shards.END] for e in own.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    held = len(own.end)
+    own.forget()
+    assert len(own.end) == 2 < held and own.batch(pa.array(["a b a"]))[1].tolist() == [4]
+
+
+def test_equal_and_null_ids_are_dealt_to_several_parts(spark, tmp_path):
+    docs = spark.createDataFrame([(None if i % 2 else 5, f"text {i} " * 50) for i in range(400)], "doc_id long, text string").withColumn("start", F.lit("clash"))
+    token_shards.write_shards(docs, f"file://{tmp_path}/s", token_shards.tokenizer_path(), 8)
+    shards = spark.read.parquet(f"{tmp_path}/s")
+    assert shards.select("part").distinct().count() >= 6 and shards.agg(F.sum("n_docs")).first()[0] == 400
+    rows = token_shards.read_documents(spark, f"file://{tmp_path}/s").orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 200 + [5] * 200
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+
+
 @pytest.mark.parametrize("n, top", [(0, 3), (1, 1), (1000, 2), (777, 50257)])
 def test_wavelet_matrix(n, top):
     x = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
