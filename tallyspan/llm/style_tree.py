@@ -1,24 +1,30 @@
 """Main text by site style trees.
 
-Pages of a host are merged into one tree of element paths. Each element of a page has a
-presentation (the tags, classes and roles directly below it) and content (its own text).
-At every path of a host's tree two entropies are measured over the host's pages:
-
-- presentation: how the pages' presentations there are spread; a path that always looks the
-  same is template, one that varies is written page by page;
-- content: how the texts there are spread; a text that returns on page after page is template.
-
-A leaf's importance is the entropy of its contents over the greatest possible, an inner
-element's mixes its presentation's entropy with its children's importance, deeper levels
-counting less. Elements of low importance are removed with all below them, and so is what the
-page itself declares not to be its article (navigation, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments). Pages with an article element, or a
-main one, keep what is inside it. A host of fewer than LEAST_PAGES pages says too little, and
-its pages go by their own declarations.
+Pages of a site (the registrable domain: the last two labels of a host) are merged into one
+tree of element paths; tags carry their classes, ids and roles in a path. Every element of a
+page has a presentation (the elements directly below it) and content features: the phrases of
+its own text (runs of words between marks), its link targets and its image sources. Over the
+m pages of the site that have an element, entropies are taken to the base m:
+
+- presentation importance is the entropy of the element's presentations: 0 where all pages look
+  alike, 1 where each page is built differently;
+- a feature's entropy is that of its occurrences over the pages: 0 for what stands on a single
+  page, 1 for what stands on all alike; a leaf's content importance is 1 less the mean entropy
+  of its features, and a text that returns page after page makes it low;
+- an inner element with l presentations has (1 - GAMMA^l) of its own presentation importance and
+  GAMMA^l of the mean importance of what is below;
+- outside an article element importance falls by the share of an element's text that is links.
+
+Elements with an importance below IMPORTANCE are removed with all below them, unless they hold
+more than half of the site's text. Where a site has too few pages to repeat anything, all is important, and the page's own declarations decide
+(navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments are dropped; pages with an article element, or a main one, keep what is inside it).
+Declarations can be switched off (`declarations=False`), which leaves the tree alone.
 
 Defined results: null or empty html gives an empty text; unclosed and stray tags are closed as
-browsers do; a null url's pages share the host ""; repeated rows are separate pages; very
-long pages are read whole; an empty table gives no rows; extra columns are ignored.
+browsers do; a null url's pages share the site ""; repeated rows are separate pages, but a page
+counts once in the tree however many copies it has; very long pages are read whole; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +40,12 @@ from pyspark.sql import functions as F
 from .tables import keep, read
 from .url_rules import host
 
-LEAST_PAGES = 8
 #: About 100 bytes each.
 BROADCAST_PATHS = 50_000
 #: Elements whose importance is below this are template.
-IMPORTANCE = 0.2
-#: Share of an inner element's importance that its own presentation has.
-OWN = 0.1
+IMPORTANCE = 0.8
+#: How much of an element's importance comes from below it, by the count of its presentations.
+GAMMA = 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
@@ -64,15 +69,20 @@ NOT_ARTICLE = frozenset(
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _SPACE = re.compile(r"\s+")
+_PHRASE = re.compile(r"[^\w\s'-]+")
+
+
+def attribute(attributes: str, name: str) -> str:
+    return next((value.strip("\"'") for key, value in _ATTRIBUTE.findall(attributes) if key.lower() == name), "")
 
 
 def marks(attributes: str) -> str:
-    """The class and role of an element as it looks in paths: template, not content."""
+    """The class, role and id of an element as it looks in paths: template, not content."""
     if "=" not in attributes:
         return ""
     held = {name.lower(): value.strip("\"'") for name, value in _ATTRIBUTE.findall(attributes)}
     words = [*held.get("class", "").lower().split(), *held.get("role", "").lower().split(), *held.get("id", "").lower().split()]
-    return ".".join(re.sub(r"\d+", "0", w) for w in words)
+    return ".".join(re.sub(r"\d+", "0", w) for w in words).replace("/", "_")
 
 
 def declared(mark: str) -> bool:
@@ -80,19 +90,25 @@ def declared(mark: str) -> bool:
     return bool(mark) and any(word in NOT_ARTICLE for word in re.split(r"[^a-z]+", mark))
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, dropped, in article) of every block of text of a page, in order. A path
-    names the elements from the root, with their marks."""
-    out: list[tuple[str, str, bool, bool]] = []
+def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, int]], list[tuple[str, str]]]:
+    """(path, text, dropped, in article, characters in links) of every block of text of a page,
+    in order, and (path, target) of its links and images. A path names the elements from the
+    root, with their marks."""
+    out: list[tuple[str, str, bool, bool, int]] = []
+    targets: list[tuple[str, str]] = []
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, dropped, in article
     parts: list[str] = []
-    at = 0
+    at, linked, inside_link = 0, 0, False
 
     def flush() -> None:
+        nonlocal linked
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            out.append((stack[-1][1], text, stack[-1][2], stack[-1][3]))
+            # text markup inside a block is not part of its path
+            top = next(x for x in reversed(stack) if x[0] in BLOCK or not x[0])
+            out.append((top[1], text, stack[-1][2], stack[-1][3], min(linked, len(text))))
+        linked = 0
 
     def close(tag: str) -> None:
         while stack[-1][0] != tag:
@@ -106,10 +122,16 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
     found = _TAG.search(page)
     while found:
         parts.append(page[at : found.start()])
+        linked += inside_link * (found.start() - at)
         at = found.end()
         closing, tag, attributes = found[1], found[2], found[3]
         if tag is not None:
             tag = tag.lower()
+            if tag == "a":
+                inside_link = not closing
+            if not closing and tag in ("a", "img"):
+                top = next(x for x in reversed(stack) if x[0] in BLOCK or not x[0])
+                targets.append((top[1], f"{tag} {attribute(attributes, 'href' if tag == 'a' else 'src')}"))
             if closing:
                 if tag == "br":
                     parts.append(" ")
@@ -153,7 +175,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         found = _TAG.search(page, at)
     parts.append(page[at:])
     flush()
-    return out
+    return out, targets
 
 
 def _hash(text: str) -> int:
@@ -162,106 +184,130 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """host, page (hash of all its blocks' paths and texts) and blocks (path, content hash,
-    dropped) of every page: what the tree counts, without the texts."""
-    kind = "array<struct<path:string,content:long,dropped:boolean>>"
+def site(url):
+    """The last two labels of a url's host."""
+    return F.substring_index(F.regexp_replace(F.coalesce(host(url), F.lit("")), r":[0-9]*$", ""), ".", -2)
+
+
+def ancestors(path: str) -> list[str]:
+    """The elements around an element, from the root."""
+    parts = path.split("/")
+    return ["/".join(parts[:n]) for n in range(2, len(parts))]
+
+
+def features(found: list[tuple], targets: list[tuple[str, str]]) -> set[tuple[str, int]]:
+    """(path, hash) of the distinct phrases, link targets and image sources of a page."""
+    own = {(path, _hash(phrase)) for path, text, *_ in found for part in _PHRASE.split(text) if (phrase := part.strip())}
+    return own | {(path, _hash(target)) for path, target in targets}
+
+
+def presentations(paths: set[str]) -> dict[str, int]:
+    """The hash of the elements directly below each inner element."""
+    below: dict[str, set[str]] = {}
+    for path in paths:
+        chain = [*ancestors(path), path]
+        for outer, inner in zip(chain, chain[1:], strict=False):
+            below.setdefault(outer, set()).add(inner)
+    return {path: _hash(" ".join(sorted(inner))) for path, inner in below.items()}
+
+
+PARSED = "page_id long, url string, site string, page long, blocks array<struct<path:string,text:string,dropped:boolean,inside:boolean,linked:int>>, features array<struct<path:string,value:long>>, looks array<struct<path:string,value:long>>"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """Every page's blocks, content features and presentations, parsed once; `page` is a hash of
+    the blocks that are not dropped, equal for copies of a page."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = pa.list_(pa.struct([("path", pa.string()), ("content", pa.int64()), ("dropped", pa.bool_())]))
+        block = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("dropped", pa.bool_()), ("inside", pa.bool_()), ("linked", pa.int32())]))
+        value = pa.list_(pa.struct([("path", pa.string()), ("value", pa.int64())]))
+        names = ["page_id", "url", "site", "page", "blocks", "features", "looks"]
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                rows = [[{"path": p, "content": _hash(t), "dropped": d} for p, t, d, _ in blocks(page or "")] for page in batch.column(1).to_pylist()]
-                own = [_hash("\0".join(f"{b['path']} {b['content']}" for b in row if not b["dropped"])) for row in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), pa.array(rows, of)], ["host", "page", "blocks"])
-
-    return _named(pages).select("host", "html").mapInArrow(parse, f"host string, page long, blocks {kind}")
-
-
-def _named(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(host(F.col("url")), F.lit("")).alias("host"), F.col("html").cast("string"))
-
-
-def tree(parsed: DataFrame) -> DataFrame:
-    """host, path, dropped, pages, importance of every element path of every host of
-    LEAST_PAGES or more different pages. Copies of a page count once: that a text returns
-    must show on pages that differ. Counts are by host, path and hash, summed partially
-    before each shuffle, so a hot host is only more counts."""
-    pages = parsed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    each = parsed.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.path", "b.content", "b.dropped").distinct()
-    dropped = each.groupBy("host", "path").agg(F.min("dropped").alias("dropped"))
-    # contents: how often each text stands at a path of the host
-    contents = each.groupBy("host", "path", F.col("content").alias("value")).agg(F.count("*").alias("n"))
-    leaf = keep(_entropy(contents).withColumnRenamed("spread", "content"), "contents")
-    # presentations: the elements below every inner element, page by page
-    shape = F.array_distinct(F.transform("blocks", lambda b: b["path"]))
-    looks = parsed.select("host", "page", shape.alias("shape")).withColumn("path", F.explode(F.array_distinct(F.flatten(F.transform("shape", _ancestors)))))
-    below = F.filter("shape", lambda p: p.startswith(F.concat("path", F.lit("/"))))
-    presentations = looks.select("host", "page", "path", F.xxhash64(below).alias("value")).distinct().groupBy("host", "path", "value").agg(F.count("*").alias("n"))
-    inner = _entropy(presentations).withColumnRenamed("spread", "presentation")
-    # an inner element's importance: its presentation's, and the mean of the contents below
-    under = leaf.select("host", F.explode(_ancestors(F.col("path"))).alias("path"), "content", "total")
-    means = under.groupBy("host", "path").agg((F.sum(F.col("content") * F.col("total")) / F.sum("total")).alias("below"))
-    grown = inner.join(means, ["host", "path"], "left").select("host", "path", (OWN * F.col("presentation") + (1 - OWN) * F.coalesce("below", F.lit(1.0))).alias("importance"))
-    leaves = leaf.select("host", "path", F.col("content").alias("importance"))
-    most = leaves.unionByName(grown).groupBy("host", "path").agg(F.max("importance").alias("importance"))
-    return most.join(dropped, ["host", "path"], "left").join(pages, "host")
+            for at in range(0, whole.num_rows, 100):
+                batch, rows, own, looks, same = whole.slice(at, 100), [], [], [], []
+                for page in batch.column(3).to_pylist():
+                    found, targets = blocks(page or "")
+                    rows.append([dict(zip(("path", "text", "dropped", "inside", "linked"), b, strict=True)) for b in found])
+                    own.append([{"path": p, "value": v} for p, v in features(found, targets)])
+                    looks.append([{"path": p, "value": v} for p, v in presentations({b[0] for b in found}).items()])
+                    same.append(_hash("\0".join(f"{b[0]} {b[1]}" for b in found if not b[2])))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same, pa.int64()), pa.array(rows, block), pa.array(own, value), pa.array(looks, value)], names)
+
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), site(F.col("url")).alias("site"), F.col("html").cast("string"))
+    return rows.mapInArrow(parse, PARSED)
+
+
+def tree(pages: DataFrame) -> DataFrame:
+    """site, path, importance, pages (different ones that have the element) and share (of the
+    site's text) of every element of every site. All counts are sums by site, path and hash that are made in part before each
+    shuffle, so a hot site is only more counts."""
+    once = pages.groupBy("site", "page").agg(F.first("features").alias("features"), F.first("looks").alias("looks"), F.first(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.length(b["text"]).alias("size"), b["linked"].alias("linked"), b["inside"].alias("inside")))).alias("sizes"))
+    once = keep(once, "pages-once")
+    log_m = F.log(F.greatest("m", F.lit(2)))
+    # content: a feature that k of the m pages have, once each, has the entropy log k to the base m
+    each = once.select("site", F.explode("features").alias("x")).groupBy("site", "x.path", "x.value").agg(F.count("*").alias("k"))
+    at = once.select("site", F.explode(F.array_distinct(F.transform("features", lambda x: x["path"]))).alias("path")).groupBy("site", "path").agg(F.count("*").alias("m"))
+    leaf = each.groupBy("site", "path").agg(F.sum(F.log("k")).alias("logs"), F.count("*").alias("n")).join(at, ["site", "path"])
+    leaf = leaf.select("site", "path", "m", F.when(F.col("m") < 2, 1.0).otherwise(1 - F.col("logs") / F.col("n") / log_m).alias("content"))
+    # presentation
+    looks = once.select("site", F.explode("looks").alias("x")).groupBy("site", "x.path", "x.value").agg(F.count("*").alias("k"))
+    inner = looks.groupBy("site", "path").agg(F.sum("k").alias("m"), F.count("*").alias("l"), F.sum(F.col("k") * F.log("k")).alias("k_log_k"))
+    inner = inner.select("site", "path", "m", "l", F.when(F.col("m") < 2, 1.0).otherwise((F.log("m") - F.col("k_log_k") / F.col("m")) / log_m).alias("presentation"))
+    # of text in links, by element and by all around it
+    text = once.select("site", F.explode("sizes").alias("x")).groupBy("site", "x.path").agg(F.sum("x.size").alias("size"), F.sum("x.linked").alias("linked"), F.max("x.inside").alias("inside"))
+    leaf = keep(leaf.join(text, ["site", "path"], "full_outer"), "leaves")
+    around = leaf.select("site", F.explode(_ancestors(F.col("path"))).alias("path"), "content", "m", "size", "linked").groupBy("site", "path").agg(
+        (F.sum(F.col("content") * F.col("m")) / F.sum(F.when(F.col("content").isNotNull(), F.col("m")))).alias("below"), F.sum("size").alias("size"), F.sum("linked").alias("linked")
+    )
+    own = F.pow(F.lit(GAMMA), F.col("l"))
+    inner = inner.join(around, ["site", "path"]).select("site", "path", "m", ((1 - own) * F.col("presentation") + own * F.coalesce("below", F.lit(1.0))).alias("importance"), "size", "linked", (F.col("path").rlike(ARTICLE)).alias("inside"))
+    leaves = leaf.where("content IS NOT NULL").select("site", "path", "m", F.col("content").alias("importance"), "size", "linked", F.coalesce("inside", F.lit(False)).alias("inside"))
+    share = F.when(F.col("inside"), 0.0).otherwise(F.coalesce(F.col("linked") / F.col("size"), F.lit(0.0)))
+    every = leaves.unionByName(inner).select("site", "path", "m", (F.col("importance") * (1 - share)).alias("importance"), "size")
+    every = every.groupBy("site", "path").agg(F.max("importance").alias("importance"), F.max("m").alias("pages"), F.sum("size").alias("size"))
+    whole = leaf.groupBy("site").agg(F.sum("size").alias("whole"))
+    return every.join(whole, "site").select("site", "path", "importance", "pages", (F.coalesce("size", F.lit(0)) / F.col("whole")).alias("share"))
+
+
+#: Paths that are in an article or main element, or around nothing else.
+ARTICLE = r"/(article|main)(\.[^/]*)?(/|$)"
 
 
 def _ancestors(path):
-    """The paths of all elements around an element."""
+    """As ancestors(), for columns."""
     names = F.split(path, "/")
     return F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(names) - 1)), lambda i: i < F.size(names)), lambda i: F.array_join(F.slice(names, 1, i), "/"))
 
 
-def _entropy(counts: DataFrame) -> DataFrame:
-    """host, path, spread (entropy of the values there over the greatest possible, 0 to 1;
-    1 where there is a single one, which says nothing) and total."""
-    with_n = counts.groupBy("host", "path").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
-    spread = F.when(F.col("total") <= 1, 1.0).otherwise((F.log("total") - F.col("n_log_n") / F.col("total")) / F.log("total"))
-    return with_n.select("host", "path", spread.alias("spread"), "total")
+def template(pages: DataFrame, importance: float = IMPORTANCE) -> DataFrame:
+    """site and path of the blocks that the tree removes: those of low importance, and those
+    below an inner element of low importance."""
+    scored = keep(tree(pages), "tree")
+    low = scored.where((F.col("importance") < importance) & (F.col("share") <= 0.5)).select("site", "path")
+    under = scored.select("site", F.col("path").alias("_path"), F.explode(_ancestors(F.col("path"))).alias("path")).join(low, ["site", "path"]).select("site", F.col("_path").alias("path"))
+    return keep(low.unionByName(under).distinct(), "template")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and removed (blocks that the tree removed) of every page.
-    Pages are parsed twice, for the tree and for the text, rather than stored between. Paths
-    that pages drop by declaration need no tree; the others of low importance are few, and
-    broadcast while they number at most BROADCAST_PATHS, else joined by host."""
-    low = tree(keep(page_blocks(pages), "page-blocks")).where((F.col("importance") < IMPORTANCE) & ~F.coalesce("dropped", F.lit(False))).select("host", "path")
-    low = keep(low, "template")
-    template = low.groupBy("host").agg(F.collect_set("path").alias("template"))
+def extract(pages: DataFrame, declarations: bool = True, importance: float = IMPORTANCE) -> DataFrame:
+    """page_id, url, text, n_chars and removed (blocks that the tree removes) of every page. The
+    template's paths are broadcast while they number at most BROADCAST_PATHS, else joined."""
+    own = keep(parsed(pages), "parsed-pages")
+    low = template(own, importance)
+    gone = low.groupBy("site").agg(F.collect_set("path").alias("gone"))
     if low.count() <= BROADCAST_PATHS:
-        template = F.broadcast(template)
-    joined = _named(pages).join(template, "host", "left").select("page_id", "url", "html", "template")
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                found = [main_text(page or "", template or ()) for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["page_id", "url", "text", "n_chars", "removed"])
-
-    return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long, removed long")
-
-
-def main_text(page: str, template) -> tuple[str, int]:
-    """The text of a page without what it declares not to be its article and without the
-    branches of template, and how many blocks the template removed."""
-    kept = [b for b in blocks(page) if not b[2]]
-    if any(inside for *_, inside in kept):
-        kept = [b for b in kept if b[3]]
-    if not template:
-        return "\n\n".join(text for _, text, _, _ in kept), 0
-    low = set(template)
-    names = {path: path.split("/") for path, *_ in kept}
-    gone = {path for path, parts in names.items() if any("/".join(parts[:n]) in low for n in range(2, len(parts) + 1))}
-    important = [text for path, text, _, _ in kept if path not in gone]
-    return "\n\n".join(important), len(kept) - len(important)
+        gone = F.broadcast(gone)
+    rows = own.select("page_id", "url", "site", "blocks").join(gone, "site", "left")
+    removes = lambda b: F.coalesce(F.array_contains("gone", b["path"]), F.lit(False))
+    said = F.filter("blocks", lambda b: ~b["dropped"]) if declarations else F.col("blocks")
+    rows = rows.withColumns({"said": said, "removed": F.size(F.filter("blocks", removes)).cast("long")})
+    if declarations:
+        rows = rows.withColumn("said", F.when(F.exists("said", lambda b: b["inside"]), F.filter("said", lambda b: b["inside"])).otherwise(F.col("said")))
+    text = F.array_join(F.transform(F.filter("said", lambda b: ~removes(b)), lambda b: b["text"]), "\n\n")
+    return rows.select("page_id", "url", text.alias("text"), "removed").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "removed")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return extract(read(spark, sf_dir, "pages"))
 
 
 QUERIES = {"op6_main_text": op6_main_text}

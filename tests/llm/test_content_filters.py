@@ -90,25 +90,63 @@ def test_mined_rules_equal_brute_force(spark):
     for i in range(300):
         bad = i % 3 == 0
         host = "spam.org" if bad and i % 2 else f"h{i % 4}.org"
-        rows.append((i, f"https://{host}/{'win' if bad else 'news'}/{i}", bad))
+        good = bad and i % 4 == 0  # an exception among the bad ones
+        rows.append((i, f"https://{host}/{'win' if bad else 'news'}{'/faq' if good else ''}/{i}", bad and not good))
     pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
     labels = spark.createDataFrame([(i, 0 if b else 1, 0) for i, _, b in rows], "doc_id long, quality int, toxic int")
-    named = pages.select("url", url_rules.tokens(F.col("url"), url_rules.host(F.col("url")), url_rules.path(F.col("url"))).alias("items"))
-    labelled = url_rules.labels_of(named, labels).select("items", "bad")
-    got = {tuple(r.antecedent): (r.hits, round(r.confidence, 9)) for r in url_rules.mine(labelled, 0.05, 0.6).collect()}
+    labelled = url_rules.labelled_urls(pages, labels, ())[1].select("items", "bad", "document")
+    got = {tuple(r.antecedent): (r.verdict, r.hits, round(r.confidence, 9)) for r in url_rules.mine(labelled, 0.05, 0.6).collect()}
     held = [(set(r["items"]), r.bad) for r in labelled.collect()]
-    sets = {c for items, _ in held for n in (1, 2, 3) for c in combinations(sorted(items), n)}
-    rules = {}
-    for c in sets:
-        own = [bad for items, bad in held if items >= set(c)]
-        if sum(own) >= max(0.05 * len(held), url_rules.LEAST_HITS) and sum(own) / len(own) >= 0.6:
-            rules[c] = (sum(own), round(sum(own) / len(own), 9))
-    want = {c: v for c, v in rules.items() if not any(rules.get(tuple(x for x in c if x != out), (0, 0))[1] >= v[1] for out in c)}
-    assert got == want and ("path:win",) in got
+    usual = sum(bad for _, bad in held) / len(held)
+
+    def bound(hits, n, z=url_rules.Z):
+        p = hits / n
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+    # tokens that occur in the same rows are one name
+    where = {}
+    for x in {x for items, _ in held for x in items}:
+        where.setdefault(tuple(i for i, (items, _) in enumerate(held) if x in items), set()).add(x)
+    names = {min(same): same for at, same in where.items() if len(at) >= 0.05 * len(held)}
+    found = {"block": {}, "allow": {}}
+    for n in range(1, 6):
+        for c in combinations(sorted(names), n):
+            own = [bad for items, bad in held if items >= set(c)]
+            for verdict, hits, base in (("block", sum(own), usual), ("allow", len(own) - sum(own), 1 - usual)):
+                if hits >= max(0.05 * len(held), url_rules.LEAST_HITS) and bound(hits, len(own)) >= 0.6 and bound(hits, len(own)) > base:
+                    found[verdict][c] = (verdict, hits, round(hits / len(own), 9))
+    pruned = lambda rules: {c: v for c, v in rules.items() if not any(rules.get(tuple(x for x in c if x != out), ("", 0, 0))[2] >= v[2] for out in c)}
+    found["block"] = pruned(found["block"])
+    found["allow"] = pruned({c: v for c, v in found["allow"].items() if any(set(c) >= set(d) for d in found["block"])})
+    whole = lambda c: tuple(sorted(x for name in c for x in names[name]))
+    assert got == {whole(c): v for rules in found.values() for c, v in rules.items()} and found["block"] and found["allow"]
     verdicts = {r.page_id: r.verdict for r in url_rules.judge(pages, labels, (), 0.05, 0.6).collect()}
     assert all((verdicts[i] == "block") == bad for i, _, bad in rows)
 
 
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_planted_combinations_through_the_query(spark, tmp_path, limit, monkeypatch):
+    monkeypatch.setattr(url_rules, "BROADCAST_RULES", limit)
+    rows, marks = [], []
+    for i in range(600):
+        bad = i % 5 == 0  # only the combination of /promo and ?aff is bad, not either alone
+        path, query = ("promo", "?aff=1") if bad else ("promo", "") if i % 5 == 1 else ("a", "?aff=1") if i % 5 == 2 else ("a", "")
+        rows.append((i, f"https://s{i % 7}.shop.org/{path}/{i}{query}", ""))
+        marks.append((i, 0 if bad else 1, 0))
+    long = f"https://s1.shop.org/promo/{'x/' * 20_000}7?aff=2&" + "&".join(f"q{i}" for i in range(500))
+    rows += [(900, long, None), (901, None, None), (5, rows[5][1], "again")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("verdict", F.lit("clash")).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(marks[::2], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = url_rules.op4_url_filter(spark, f"file://{tmp_path}").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.verdict == ("block" if r.page_id == 900 or r.page_id < 900 and r.page_id % 5 == 0 else "allow"), r
+    assert {r.mined_rule for r in got if r.page_id % 5 == 0 and r.page_id < 600} == {"path:promo query:aff"}
+    pages, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("pages", "labels"))
+    (held,) = url_rules.held_out(pages, labels, ()).collect()
+    assert held.document and held.bad == held.caught > 0 and held.wrong == 0
+
+
 def test_severity_on_held_out_texts(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(300)]
@@ -137,21 +175,76 @@ def test_severity_of_odd_input(spark):
     assert severity.score(docs.limit(0), severity.train(docs.limit(0), none)).count() == 0
 
 
-def test_main_text_of_a_page():
+def main_text(spark, page):
+    (row,) = style_tree.extract(spark.createDataFrame([(1, None, page)], "page_id long, url string, html string")).collect()
+    assert row.n_chars == len(row.text)
+    return row.text
+
+
+def test_main_text_of_a_page(spark):
     page = '<html><head><title>t</title><style>p{}</style></head><body><nav>menu</nav><div class="ad">buy</div><article><h1>A &amp; B</h1><p>one<br>two <b>three<p>four\n five</article><div id="comments"><p>first!</p></div><form>f</form><footer>foot</footer><script>if(a<b)</script></body></html>'
-    assert style_tree.main_text(page, ()) == ("A & B\n\none two three\n\nfour five", 0)
-    assert style_tree.main_text("", ()) == ("", 0) and style_tree.main_text("plain &lt;text", ()) == ("plain <text", 0)
-    assert style_tree.main_text("<p>a<p>b<ul><li>1<li>2</ul><table><tr><td>q<td>r</table>tail", ())[0] == "a\n\nb\n\n1\n\n2\n\nq\n\nr\n\ntail"
-    assert style_tree.main_text('<div class="sidebar"><p>x</p></div><p>y</p>', ())[0] == "y"
+    assert main_text(spark, page) == "A & B\n\none two three\n\nfour five"
+    assert main_text(spark, "") == "" and main_text(spark, "plain &lt;text") == "plain <text"
+    assert main_text(spark, "<p>a<p>b<ul><li>1<li>2</ul><table><tr><td>q<td>r</table>tail") == "a\n\nb\n\n1\n\n2\n\nq\n\nr\n\ntail"
+    assert main_text(spark, '<div class="sidebar"><p>x</p></div><p>y</p>') == "y"
+    long = "".join(f"<p>word{i} 😀" for i in range(20_000))
+    assert main_text(spark, f"<article>{long}</article>").count("\n\n") == 19_999
 
 
 def test_repeated_branches_go_and_copies_stay(spark):
     page = lambda i, slogan: f'<html><body><div class="x"><p>{slogan}</p></div><div class="y"><p>text number {i} is its own</p><p>and more of {i}</p></div></body></html>'
     rows = [(i, f"http://h.com/{i}", page(i, "our slogan")) for i in range(12)]
-    rows += [(100 + i, f"http://copy.com/{i}", page(0, "our slogan")) for i in range(12)]
-    rows += [(200, None, None), (201, "http://h.com/e", ""), (202, "http://small.com", page(1, "our slogan"))]
+    rows += [(100 + i, f"http://copy.org/{i}", page(0, "our slogan")) for i in range(12)]
+    rows += [(200, None, None), (201, "http://h.com/e", ""), (202, "http://small.net", page(1, "our slogan")), (203, "http://www.h.com/f", page(77, "our slogan"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     found = {r.page_id: r for r in style_tree.extract(pages).collect()}
     assert found[3].text == "text number 3 is its own\n\nand more of 3" and found[3].removed == 1 and found[3].n_chars == len(found[3].text)
+    assert found[203].text == "text number 77 is its own\n\nand more of 77"  # a small host goes with its domain
     assert found[105].text.startswith("our slogan") and found[202].text.startswith("our slogan") and found[200].text == "" and found[201].text == ""
     assert style_tree.extract(pages.limit(0)).count() == 0
+
+
+def test_tree_equals_brute_force(spark):
+    from math import log
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(30):
+        links = "".join(f'<li><a href="/{rng.integers(4)}">go {rng.integers(4)}</a>' for _ in range(int(rng.integers(1, 4))))
+        body = "".join(f"<p>{rng.integers(9)} said. It was {rng.integers(5)}" for _ in range(int(rng.integers(1, 3))))
+        rows.append((i, f"http://{'ab'[i % 2]}.x.com/{i}", f'<body><ul>{links}</ul><div class="t{rng.integers(2)}">{body}<img src="/{rng.integers(3)}.png"></div></body>'))
+    rows += [(100 + r[0], r[1], r[2]) for r in rows[:5]]  # copies count once
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.path: r for r in style_tree.tree(style_tree.parsed(pages)).collect()}
+    read = {}
+    for *_, page in rows:
+        found, targets = style_tree.blocks(page)
+        read[tuple(found)] = (found, targets)
+    features, looks, sizes, linked = {}, {}, {}, {}
+    for n, (found, targets) in enumerate(read.values()):
+        for path, value in style_tree.features(found, targets):
+            features.setdefault(path, {}).setdefault(value, []).append(n)
+        for path, value in style_tree.presentations({b[0] for b in found}).items():
+            looks.setdefault(path, {}).setdefault(value, []).append(n)
+        for path, text, _, _, links in found:
+            for outer in [*style_tree.ancestors(path), path]:
+                sizes[outer], linked[outer] = sizes.get(outer, 0) + len(text), linked.get(outer, 0) + links
+    entropy = lambda counts, m: -sum(c / sum(counts) * log(c / sum(counts), m) for c in counts) if m > 1 else 0.0
+    m_of = {path: len({n for at in values.values() for n in at}) for path, values in features.items()}
+    content = {path: 1 - np.mean([entropy([1] * len(at), m_of[path]) for at in values.values()]) for path, values in features.items()}
+    want = {path: value * (1 - linked[path] / sizes[path]) for path, value in content.items()}
+    for path, values in looks.items():
+        m = sum(map(len, values.values()))
+        below = [(content[p], m_of[p]) for p in content if p.startswith(path + "/")]
+        mean = sum(v * n for v, n in below) / sum(n for _, n in below)
+        own = style_tree.GAMMA ** len(values)
+        value = ((1 - own) * (entropy([len(at) for at in values.values()], m) if m > 1 else 1.0) + own * mean) * (1 - linked[path] / sizes[path])
+        want[path] = max(want.get(path, 0.0), value)
+    assert {p: round(r.importance, 9) for p, r in got.items()} == {p: round(float(v), 9) for p, v in want.items()}
+
+
+def test_tree_alone_removes_the_template(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    low = style_tree.template(style_tree.keep(style_tree.parsed(pages), "parsed"))
+    gone = {r.path for r in low.collect()}
+    assert {"/html/body/nav/ul/li", "/html/body/footer", "/html/body/div.ad"} <= gone and not any("article" in p for p in gone)
