@@ -69,10 +69,14 @@ def same_reference(a: Column, b: Column) -> Column:
     return given(a) & given(b) & F.coalesce(normalized(a) == normalized(b), F.lit(False))
 
 
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def ratio(a: str, b: str) -> float:
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
 def character_ratio(a: Column, b: Column) -> Column:

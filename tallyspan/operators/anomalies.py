@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
+from .folds import fold, islands
 
 
 @dataclass(frozen=True)
@@ -83,15 +87,29 @@ def round_numbers(txns: DataFrame, unit: int = 1_000, least: int = 10_000, most_
 
 def mirrored_entries(txns: DataFrame, window: int = 3) -> DataFrame:
     """source, positive_id, negative_id: each inflow, by date, takes the first unused outflow
-    of the same size within `window` days, as a greedy pass in that order would."""
-    from .matching import assign
-
-    rows = txns.select("source", "id", "ord", "date", "amount", F.abs("amount").alias("size")).where("amount <> 0")
-    plus = rows.where("amount > 0").select("source", "size", F.col("id").alias("bank_id"), F.col("date").alias("p_date"), F.col("ord").alias("p_ord"))
-    minus = rows.where("amount < 0").select("source", "size", F.col("id").alias("ledger_id"), F.col("date").alias("n_date"), F.col("ord").alias("n_ord"))
-    edges = plus.join(minus, ["source", "size"]).where(F.abs(F.datediff("p_date", "n_date")) <= window)
-    taken = assign(edges, F.col("p_date"), F.col("p_ord"), F.col("n_date"), F.col("n_ord"))
-    return taken.select("source", F.col("bank_id").alias("positive_id"), F.col("ledger_id").alias("negative_id"), "size")
+    of the same size within `window` days, in one pass over each size's rows by date."""
+    rows = txns.select("source", "id", "ord", "date", F.abs("amount").alias("size"), (F.col("amount") > 0).alias("inflow")).where("size <> 0")
+    both = rows.groupBy("source", "size").agg(F.min("inflow").alias("a"), F.max("inflow").alias("b")).where("a <> b").select("source", "size")
+    rows = islands(rows.join(both, ["source", "size"]), ["source", "size"], window)
+    return fold(rows, ["source", "size", "island"], ["date", "ord", "id"], "source string, positive_id string, negative_id string, size decimal(18,2)", lambda group: mirror(group, window))
+
+
+def mirror(rows: Iterator[dict], window: int) -> Iterable[tuple]:
+    """The mirrored pairs of one island: outflows stand in a queue by date and order."""
+    span, waiting, outflows = datetime.timedelta(window), deque(), deque()
+
+    def due(date) -> Iterator[tuple]:
+        while waiting and (date is None or date > waiting[0]["date"] + span):
+            row = waiting.popleft()
+            while outflows and outflows[0]["date"] < row["date"] - span:
+                outflows.popleft()
+            if outflows:
+                yield row["source"], row["id"], outflows.popleft()["id"], row["size"]
+
+    for row in rows:
+        yield from due(row["date"])
+        (waiting if row["inflow"] else outflows).append(row)
+    yield from due(None)
 
 
 def timing_gaps(txns: DataFrame, days: int = 14, by: tuple[str, ...] = ("source",)) -> DataFrame:

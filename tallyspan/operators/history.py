@@ -5,11 +5,16 @@ A run is filed documents first and its own row last, so a run that is listed is
 
 from __future__ import annotations
 
-from datetime import datetime
+import json
+from dataclasses import fields
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import keep
+from .anomalies import Config
+
 SCHEMAS = {
     "clients": "client_id string, name string, created_at timestamp, config string",
     "runs": "run_id string, client_id string, created_at timestamp, headline string, payload string",
@@ -74,21 +79,63 @@ class Store:
 
     def runs(self, client_id: str) -> DataFrame:
         """Newest first, without their payloads: only one client's files are read."""
-        return self.read("runs").where(F.col("client_id") == client_id).select("run_id", "created_at", "headline").orderBy(F.desc("created_at"))
+        return run_list(self.read("runs").where(F.col("client_id") == client_id)).orderBy("place")
+
+    def documents(self, run_id: str) -> DataFrame:
+        """The files that a run was made from."""
+        return self.read("documents").where(F.col("run_id") == run_id).select("document_id", "file_name", "content")
+
+    def has_documents(self, run_id: str) -> bool:
+        return bool(self.read("documents").where(F.col("run_id") == run_id).limit(1).count())
+
+    def thresholds(self, client_id: str | None, request: str | None = None) -> Config:
+        """The settings of a run: the request's, if it has any, else the client's, else the
+        usual ones; they replace each other whole. Unknown settings raise."""
+        held = request
+        if not (held or "").strip() and client_id is not None:
+            row = self.read("clients").where(F.col("client_id") == client_id).select("config").first()
+            held = row and row.config
+        return Config(**_settings(json.loads(held))) if (held or "").strip() else Config()
+
+    def export(self, client_id: str, path: str) -> None:
+        """One client's tables as JSON lines (contents in base 64), readable without this
+        library; written by tasks."""
+        for table in SCHEMAS:
+            own = self.read(table).where(F.col("client_id") == client_id)
+            own.write.mode("overwrite").json(f"{path.rstrip('/')}/{table}")
 
     def run(self, run_id: str) -> DataFrame:
         return self.read("runs").where(F.col("run_id") == run_id).join(self.read("clients").select("client_id", "name"), "client_id")
 
+    def purge_older(self, client_id: str, days: int, now: datetime) -> int:
+        """Deletes one client's documents that are more than so many days old."""
+        if days < 0:
+            raise ValueError("a retention window can't be negative")
+        return self.purge_documents(client_id, now - timedelta(days))
+
     def purge_documents(self, client_id: str, before: datetime) -> int:
         """Deletes one client's documents older than a time; runs and results stay."""
         own = self.read("documents").where(F.col("client_id") == client_id)
         gone = own.where(F.col("created_at") < before).count()
         if gone:
-            kept = own.where(F.col("created_at") >= before).checkpoint()
+            kept = keep(own.where(F.col("created_at") >= before), "kept-documents")
             self._replace("documents", client_id, kept)
         return gone
 
 
+def _settings(given: dict) -> dict:
+    unknown = set(given) - {f.name for f in fields(Config)}
+    if unknown:
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    return {name: tuple(value) if isinstance(value, list) else value for name, value in given.items()}
+
+
+def run_list(runs: DataFrame) -> DataFrame:
+    """client_id, run_id, created_at, headline and place of runs: each client's newest first."""
+    newest = F.row_number().over(Window.partitionBy("client_id").orderBy(F.desc("created_at"), "run_id"))
+    return runs.select("client_id", "run_id", "created_at", "headline", newest.cast("long").alias("place"))
+
+
 def client_activity(clients: DataFrame, runs: DataFrame) -> DataFrame:
     """Clients with how many runs they have and when the last was, the busiest last first."""
     held = runs.groupBy("client_id").agg(F.count("run_id").alias("runs"), F.max("created_at").alias("last_run"))

@@ -4,30 +4,33 @@ A side is a frame with id, ord (its input order), date, amount decimal(18,2), de
 reference and alt_references array<string>. Pairs are edge frames (bank_id, ledger_id, rule,
 similarity, corroboration); rows are joined back only where a report needs them.
 
-Both stages are greedy in the order of input, which is sequential in nature. They run in
-rounds instead: in each, every row that no undecided earlier row can affect is decided, all
-at once and without gathering any group in one task.
+Both stages are greedy in the order of input, which is sequential in nature. The exact stage
+decides amounts that are alone on both sides by one join, and streams all others in order of
+date (see folds). The near stage takes edges that come first for both their ends, in a few
+rounds; what is left then is decided component by component, so the number of jobs follows the
+logarithm of a component and not the number of its rows.
 """
 
 from __future__ import annotations
 
+import datetime
+from collections import deque
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, text
+from ..shared import keep
+from .folds import fold, islands
 
 RULES = ("exact_amount_same_date", "exact_amount_near_date", "exact_amount_same_date_fuzzy_desc", "exact_amount_near_date_fuzzy_desc", "near_amount_matching_description")
 PAIRS = "bank_id string, ledger_id string, rule string, similarity double, corroboration string"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop's state in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyspan-"))
-    return df.checkpoint()
+    """Cut the lineage of a step's result in the shared folder."""
+    return keep(df, "settled")
 
 
 def prepared(side: DataFrame) -> DataFrame:
@@ -70,32 +73,111 @@ def match_exact(bank: DataFrame, ledger: DataFrame, days: int = 3, fuzzy: float
     """Equal amount, near date. Bank rows choose in the order of date and input: a single free
     candidate is taken; among several the most similar one, if it reaches `fuzzy` and no other
     ties with it; else none, and all stay free."""
-    turn = F.struct("bank_date", "bank_ord")
-    edges = settle(exact_candidates(bank, ledger, days).select("bank_id", "ledger_id", turn.alias("turn"), (F.col("bank_date") == F.col("ledger_date")).alias("same_date"), "similarity", "corroboration"))
-    alone = edges.withColumn("n", F.count("*").over(Window.partitionBy("bank_id"))).withColumn("m", F.count("*").over(Window.partitionBy("ledger_id")))
-    done = _taken(alone.where("n = 1 AND m = 1"), fuzzy)
-    edges = settle(alone.where("NOT (n = 1 AND m = 1)").drop("n", "m"))
-    while edges.limit(1).count():
-        first = edges.groupBy("ledger_id").agg(F.min("turn").alias("first"))
-        ready = edges.join(first, "ledger_id").groupBy("bank_id").agg(F.min(F.col("turn") == F.col("first")).alias("ready")).where("ready").select("bank_id")
-        now = settle(edges.join(ready, "bank_id"))
-        taken = settle(_taken(now, fuzzy))
-        done = done.unionByName(taken)
-        edges = settle(edges.join(ready, "bank_id", "left_anti").join(taken.select("ledger_id"), "ledger_id", "left_anti"))
-    return done
-
-
-def _taken(edges: DataFrame, fuzzy: float) -> DataFrame:
-    """The choice of each bank row among its candidates."""
-    best = edges.groupBy("bank_id").agg(
-        F.max(F.struct("similarity", "ledger_id", "same_date", "corroboration")).alias("x"),
-        F.count("*").alias("n"),
-        F.slice(F.sort_array(F.collect_list("similarity"), asc=False), 1, 2).alias("top"),
-    )
-    top = F.col("top")
-    clear = (F.col("n") == 1) | ((F.col("x.similarity") >= fuzzy) & (F.get(top, 0) > F.coalesce(F.get(top, 1), F.lit(-1.0))))
-    rule = F.concat(F.lit("exact_amount_"), F.when(F.col("x.same_date"), "same_date").otherwise("near_date"), F.when(F.col("n") > 1, "_fuzzy_desc").otherwise(""))
-    return best.where(clear).select("bank_id", "x.ledger_id", rule.alias("rule"), "x.similarity", "x.corroboration")
+    count = lambda rows, n: rows.groupBy("amount").agg(F.count("*").alias(n))
+    shared = settle(count(bank, "n").join(count(ledger, "m"), "amount"))
+    alone, several = shared.where("n = 1 AND m = 1").select("amount"), shared.where("n > 1 OR m > 1").select("amount")
+    single = exact_candidates(bank.join(alone, "amount"), ledger.join(alone, "amount"), days)
+    rule = F.concat(F.lit("exact_amount_"), F.when(F.col("bank_date") == F.col("ledger_date"), "same_date").otherwise("near_date"))
+    single = single.select("bank_id", "ledger_id", rule.alias("rule"), "similarity", "corroboration")
+    said = F.coalesce("description", F.lit(""))
+    row = lambda side, mine: prepared(side.join(several, "amount")).select("amount", "date", F.lit(mine).alias("is_bank"), "ord", "id", F.array_sort("tokens").alias("tokens"), "forms", text.normalized(said).alias("said"), F.nullif(text.normalized(F.coalesce("reference", F.lit(""))), F.lit("")).alias("reference"))
+    rows = islands(row(bank, True).unionByName(row(ledger, False)), ["amount"], days)
+    return single.unionByName(fold(rows, ["amount", "island"], ["date", "ord", "id"], PAIRS, lambda group: choose(group, days, fuzzy)))
+
+
+class Words:
+    """What the text of a row says, apart from which row it is: rows that say the same are one
+    class of candidates."""
+
+    def __init__(self, row: dict):
+        self.tokens, self.reference = row["tokens"], row["reference"]
+        self.said = row["said"] if not self.tokens else ""
+        self.key = (*self.tokens, None, self.reference, self.said)
+
+    def heads(self) -> set[str]:
+        """Two words that correspond have a head in common."""
+        return {t[: text.MIN_PREFIX] for t in self.tokens}
+
+
+def corresponds(a: str, b: str) -> bool:
+    return a == b or min(len(a), len(b)) >= text.MIN_PREFIX and (a.startswith(b) or b.startswith(a))
+
+
+def likeness(bank: Words, ledger: Words, bank_said: str, ledger_said: str) -> float:
+    """As the columns similarity of scored(), for two rows."""
+    if bank.reference and bank.reference == ledger.reference:
+        return 1.0
+    a, b = bank.tokens, ledger.tokens
+    if a and b:
+        hits = sum(any(corresponds(t, u) for u in b) for t in a) + sum(any(corresponds(u, t) for t in a) for u in b)
+        return min(text.MOST_WITHOUT_REFERENCE, hits / (len(a) + len(b)))
+    return min(text.MOST_WITHOUT_REFERENCE, text.ratio(bank_said, ledger_said))
+
+
+def choose(rows: Iterator[dict], days: int, fuzzy: float) -> Iterable[tuple]:
+    """Pairs of one island of one amount, rows in order of date: each bank row's choice once all
+    ledger rows that it can see have come. Held are the rows inside the window: free ledger
+    rows by class, and classes by their reference and by their words' heads."""
+    span = datetime.timedelta(days)
+    waiting: deque[dict] = deque()
+    arrived: deque[tuple[dict, tuple]] = deque()
+    free: dict[tuple, dict[str, dict]] = {}
+    words: dict[tuple, Words] = {}
+    by: dict[tuple, set[tuple]] = {}
+    held = 0
+
+    def names(own: Words) -> list[tuple]:
+        return [("reference", own.reference)] * bool(own.reference) + ([("head", h) for h in own.heads()] or [("bare", "")])
+
+    def leave(row: dict, key: tuple) -> None:
+        nonlocal held
+        if free.get(key, {}).pop(row["id"], None) is not None:
+            held -= 1
+            if not free[key]:
+                for name in names(words[key]):
+                    by[name].discard(key)
+                del free[key], words[key]
+
+    def decide(row: dict) -> tuple | None:
+        while arrived and arrived[0][0]["date"] < row["date"] - span:
+            leave(*arrived.popleft())
+        if not held:
+            return None
+        own = Words(row)
+        if held == 1:
+            (key,) = free
+            top = likeness(own, words[key], row["said"], next(iter(free[key].values()))["said"])
+        else:
+            seen = set(free) if not own.tokens else set().union(*(by.get(name, ()) for name in [*names(own), ("bare", "")]))
+            ranked = sorted(((likeness(own, words[key], row["said"], next(iter(free[key].values()))["said"]), key) for key in seen), key=lambda x: -x[0])[:2]
+            if not ranked or ranked[0][0] < fuzzy or len(ranked) > 1 and ranked[1][0] == ranked[0][0] or len(free[ranked[0][1]]) > 1:
+                return None
+            top, key = ranked[0]
+        many = held > 1
+        (taken,) = free[key].values()
+        match = "reference" if set(row["forms"] or ()) & set(taken["forms"] or ()) else "description" if any(corresponds(t, u) for t in row["tokens"] for u in taken["tokens"]) else "amount_and_date_only"
+        leave(taken, key)
+        return row["id"], taken["id"], f"exact_amount_{'same' if taken['date'] == row['date'] else 'near'}_date{'_fuzzy_desc' * many}", top, match
+
+    def due(date: datetime.date | None) -> Iterator[tuple]:
+        while waiting and (date is None or date > waiting[0]["date"] + span):
+            found = decide(waiting.popleft())
+            if found:
+                yield found
+
+    for row in rows:
+        yield from due(row["date"])
+        if row["is_bank"]:
+            waiting.append(row)
+            continue
+        own = Words(row)
+        words.setdefault(own.key, own)
+        free.setdefault(own.key, {})[row["id"]] = row
+        for name in names(own):
+            by.setdefault(name, set()).add(own.key)
+        arrived.append((row, own.key))
+        held += 1
+    yield from due(None)
 
 
 def leftovers(side: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
@@ -109,20 +191,50 @@ def identifiable(side: DataFrame) -> DataFrame:
     return side.where((F.coalesce("reference", F.lit("")) != "") | ((said != "") & (said != text.NO_NARRATION)))
 
 
-def assign(edges: DataFrame, *order: Column) -> DataFrame:
+def assign(edges: DataFrame, *order: Column, rounds: int = 4) -> DataFrame:
     """The pairs that one greedy pass over edges (bank_id, ledger_id, ...) in this total order
-    would make. In rounds: an edge that comes first for both its ends is in the pass for sure,
-    and so are no others of its ends."""
+    would make. An edge that comes first for both its ends is in the pass for sure, and so are
+    no others of its ends: a few rounds of that settle nearly all. What chains of ties leave is
+    passed over component by component."""
     edges, done = settle(edges.withColumn("_turn", F.struct(*order))), None
-    while True:
-        by_bank = Window.partitionBy("bank_id").orderBy("_turn")
-        by_ledger = Window.partitionBy("ledger_id").orderBy("_turn")
-        ranked = edges.withColumn("_b", F.row_number().over(by_bank)).withColumn("_l", F.row_number().over(by_ledger))
-        taken = settle(ranked.where("_b = 1 AND _l = 1").drop("_b", "_l"))
+    for _ in range(rounds):
+        by_bank, by_ledger = (edges.groupBy(c).agg(F.min("_turn").alias("_first")) for c in ("bank_id", "ledger_id"))
+        ranked = edges.join(by_bank, "bank_id").where(F.col("_turn") == F.col("_first")).drop("_first")
+        taken = settle(ranked.join(by_ledger, "ledger_id").where(F.col("_turn") == F.col("_first")).select(*edges.columns))
         done = taken if done is None else done.unionByName(taken)
-        edges = settle(edges.join(taken.select("bank_id"), "bank_id", "left_anti").join(taken.select("ledger_id"), "ledger_id", "left_anti"))
+        edges = edges.join(taken.select("bank_id"), "bank_id", "left_anti").join(taken.select("ledger_id"), "ledger_id", "left_anti")
+        edges = settle(edges)
         if not edges.limit(1).count():
             return done.drop("_turn")
+    labelled = edges.join(components(edges), "bank_id")
+    rest = fold(labelled.select("label", "bank_id", "ledger_id", "_turn"), ["label"], ["_turn", "bank_id", "ledger_id"], "bank_id string, ledger_id string", first_free)
+    return done.unionByName(edges.join(settle(rest), ["bank_id", "ledger_id"]).select(*edges.columns)).drop("_turn")
+
+
+def first_free(edges: Iterator[dict]) -> Iterable[tuple]:
+    banks, ledgers = set(), set()
+    for edge in edges:
+        if edge["bank_id"] not in banks and edge["ledger_id"] not in ledgers:
+            banks.add(edge["bank_id"])
+            ledgers.add(edge["ledger_id"])
+            yield edge["bank_id"], edge["ledger_id"]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """bank_id and the label of its component, which is the least bank_id in it: labels spread
+    over shared ledger rows and then follow their own labels, in rounds that grow with the
+    logarithm of a component's diameter."""
+    pairs = edges.select("bank_id", "ledger_id").distinct()
+    labels = settle(pairs.select("bank_id", F.col("bank_id").alias("label")).distinct())
+    while True:
+        of_ledger = pairs.join(labels, "bank_id").groupBy("ledger_id").agg(F.min("label").alias("low"))
+        near = pairs.join(of_ledger, "ledger_id").groupBy("bank_id").agg(F.min("low").alias("low"))
+        step = labels.join(near, "bank_id").select("bank_id", "label", F.least("label", "low").alias("low"))
+        hop = step.groupBy("label").agg(F.min("low").alias("hop"))
+        moved = settle(step.join(hop, "label").select("bank_id", F.least("low", "hop").alias("next"), "label"))
+        if not moved.where("next < label").limit(1).count():
+            return moved.select("bank_id", "label")
+        labels = moved.select("bank_id", F.col("next").alias("label"))
 
 
 def blocks(side: DataFrame, spread: bool, days: int) -> DataFrame:

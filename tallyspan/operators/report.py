@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money
+from ..shared import keep
 
 # Fragments of narrations of bank postings, in the order they are tried.
 BANK_ORIGINATED = (
@@ -77,19 +78,37 @@ def _step(amount: Column) -> Column:
     return F.when(size < 25_000, flat).otherwise(above).cast("long")
 
 
+#: Days within which the nearest row is looked for, step by step; rows that found none go on,
+#: and the last step has no limit.
+REACHES = (0, 7, 60, 500, None)
+
+
 def _nearest(rows: DataFrame, others: DataFrame) -> DataFrame:
     """id and near: of the other rows within a fee, the nearest in date, then first in input.
-    Per step and day only the first rows of each amount matter, so repeated amounts shrink."""
+    Rows meet by steps of amount and spans of days, first of one day, then of ever more for the
+    rows that found nothing, so that a row meets few others wherever it finds one nearby. Of
+    equal amounts on one day only the first row matters."""
     sign = lambda a: F.when(a > 0, 1).when(a < 0, -1).otherwise(0)
     first = others.groupBy("amount", "date").agg(F.min_by(F.struct("ord", "description"), "ord").alias("row"))
     # small amounts of both signs can be within the flat fee of each other, so both sides' low steps meet
     low = F.abs("amount") <= money.MAX_FEE
-    steps = lambda a: F.array(*[_step(a) + i for i in (-2, -1, 0, 1, 2)])
-    keyed = first.select(F.col("amount").alias("o_amount"), F.col("date").alias("o_date"), "row", _step(F.col("amount")).alias("o_step"), F.explode(F.when(low, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(sign(F.col("amount"))))).alias("o_sign"))
-    left = rows.select("id", "date", "amount", sign(F.col("amount")).alias("sign"), F.explode(steps(F.col("amount"))).alias("step"))
-    met = left.join(keyed, (F.col("sign") == F.col("o_sign")) & (F.col("step") == F.col("o_step")) & money.fee_gap_plausible(F.col("amount"), F.col("o_amount")))
-    rank = F.struct(money.days_between(F.col("date"), F.col("o_date")).alias("gap"), F.col("row.ord").alias("ord"))
-    return met.groupBy("id").agg(F.min_by(F.struct(F.col("o_amount").alias("amount"), F.col("o_date").alias("date"), F.col("row.description").alias("description")), rank).alias("near"))
+    steps = F.array(*[_step(F.col("amount")) + i for i in (-2, -1, 0, 1, 2)])
+    keyed = keep(first.select(F.col("amount").alias("o_amount"), F.col("date").alias("o_date"), "row", _step(F.col("amount")).alias("step"), F.explode(F.when(low, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(sign(F.col("amount"))))).alias("sign")), "nearest-others")
+    left = keep(rows.select("id", "date", "amount", sign(F.col("amount")).alias("sign"), F.explode(steps).alias("step")), "nearest-rows")
+    gap = money.days_between(F.col("date"), F.col("o_date"))
+    done = None
+    for days in REACHES:
+        span = lambda d, w=days: F.floor(F.unix_date(d) / w) if w else F.unix_date(d).cast("long") if w == 0 else F.lit(0).cast("long")
+        around = F.explode(F.array(*[span(F.col("date")) + i for i in (-1, 0, 1)])) if days else span(F.col("date"))
+        met = left.withColumn("span", around).join(keyed.withColumn("span", span(F.col("o_date"))), ["sign", "step", "span"])
+        fits = money.fee_gap_plausible(F.col("amount"), F.col("o_amount"))
+        met = met.where(fits if days is None else fits & (gap <= days))
+        rank = F.struct(gap.alias("gap"), F.col("row.ord").alias("ord"))
+        found = keep(met.groupBy("id").agg(F.min_by(F.struct(F.col("o_amount").alias("amount"), F.col("o_date").alias("date"), F.col("row.description").alias("description")), rank).alias("near")), "nearest")
+        done = found if done is None else done.unionByName(found)
+        if days is not None:
+            left = keep(left.join(found.select("id"), "id", "left_anti"), "nearest-rows")
+    return done
 
 
 SUMMARY_ITEMS = (

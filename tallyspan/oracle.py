@@ -153,8 +153,28 @@ SQL: dict[str, str] = {
     "client_activity": "SELECT c_custkey::BIGINT AS client_id, c_name AS name, count(o_orderkey)::BIGINT AS runs, max(o_orderdate)::DATE AS last_run FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "run_history": "SELECT o_custkey::BIGINT AS client_id, o_orderkey::BIGINT AS run_id, o_orderdate::DATE AS created, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders",
     "retention_purge": "SELECT l_orderkey::BIGINT AS run_id, count(*)::BIGINT AS documents FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01') GROUP BY l_orderkey",
-    "cosine_topk": "WITH v AS (SELECT vec_id::BIGINT AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings), s AS (SELECT q.id AS query, o.id AS found, round(list_inner_product(q.u, o.u), 9) AS score FROM v q JOIN v o ON q.id % 100 = 0 AND o.id % 2 = 1) SELECT query, found, round(score, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, found) AS place FROM s) WHERE place <= 3",
+    "cosine_topk": "WITH v AS (SELECT vec_id::BIGINT AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings), s AS (SELECT q.id AS query, o.id AS found, round(list_inner_product(q.u, o.u), 9) AS score FROM v q JOIN v o ON q.id % 100 = 0 AND o.id <> q.id) SELECT query, found, round(score, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, found) AS place FROM s) WHERE place <= 3",
     "ledger_convention": f"WITH s AS (SELECT 'credit_is_inflow' AS name, (SELECT count_if(similarity >= 0.35) FROM (WITH {EXACT} SELECT * FROM exact))::BIGINT AS score UNION ALL SELECT 'debit_is_inflow', (SELECT count_if(similarity >= 0.35) FROM (WITH {TURNED} SELECT * FROM exact))::BIGINT) SELECT name, score, score = (SELECT max(score) FROM s) AS chosen, (SELECT count(DISTINCT score) FROM s) = 1 AS ambiguous FROM s",
     "layout_parse": f"WITH {BASE} SELECT customer::VARCHAR AS file_name, row_number() OVER (PARTITION BY customer ORDER BY d, k) AS ord, d AS date, a AS amount, 'NEFT/N' || lpad(k::VARCHAR, 8, '0') || '/' || upper(p) || CASE WHEN k % 3 = 0 THEN ' invoice ' || p ELSE '' END AS description, 'N' || k AS reference, 'N' || lpad(k::VARCHAR, 8, '0') AS alt, 'ok' AS status FROM payments",
     "sheet_ingest": f"WITH {BASE} SELECT date, amount, description, reference, count(*)::BIGINT AS n FROM ledger GROUP BY ALL",
 }
+
+_ROUND = "rounded AS (SELECT *, abs(amount) % 1000 = 0 AS is_round FROM txns WHERE abs(amount) >= 10000), round_share AS (SELECT count_if(is_round)::DOUBLE / count(*) AS share FROM rounded)"
+_GAPS = "gap_days AS (SELECT source, date, arg_min(id, ord) AS first_id, arg_max(id, ord) AS last_id FROM txns GROUP BY ALL), gaps AS (SELECT *, lag(date) OVER w AS before, lag(last_id) OVER w AS before_id FROM gap_days WINDOW w AS (PARTITION BY source ORDER BY date)), far AS (SELECT * FROM gaps WHERE date_diff('day', before, date) >= 14)"
+_FLAGS = f"""WITH {ALL}, {_ROUND}, {_GAPS}, flags AS MATERIALIZED (
+    SELECT 'duplicate_payment' AS rule, string_split(members, ',') AS ids FROM ({SQL["dup_collapsed"]})
+    UNION ALL SELECT 'reversed_mirrored_entry', [positive_id, negative_id] FROM ({SQL["mirrored_entries"]})
+    UNION ALL SELECT 'unusual_timing_gap', [before_id, first_id] FROM far
+    UNION ALL SELECT 'just_below_approval_threshold', [id] FROM ({SQL["threshold_avoidance"]})
+    UNION ALL SELECT 'round_number_entry', [id] FROM rounded, round_share WHERE is_round AND share <= 0.30)"""
+_MISSING = f"SELECT * FROM ({SQL['classify_unmatched']})"
+SQL |= {
+    "anomaly_rows": f"{_FLAGS} SELECT rule, source, id, date, amount FROM (SELECT rule, unnest(ids) AS id FROM flags) JOIN txns USING (id)",
+    "anomaly_report": f"{_FLAGS}, f AS (SELECT rule, ids, row_number() OVER () AS flag FROM flags) SELECT rule, source, count(*)::BIGINT AS rows, count(DISTINCT flag)::BIGINT AS flags FROM (SELECT rule, flag, unnest(ids) AS id FROM f) JOIN txns USING (id) GROUP BY ALL",
+    "run_payload": f"""SELECT 'summary' AS section, NULL::VARCHAR AS bank_id, NULL::VARCHAR AS ledger_id, NULL::VARCHAR AS rule, NULL::VARCHAR AS note, amount AS difference FROM ({SQL["summary"]}) WHERE item = 'Difference to explain'
+    UNION ALL SELECT 'matched', bank_id, ledger_id, rule, issue, NULL FROM (WITH {PAIRS} SELECT bank_id, ledger_id, rule, {ISSUE} AS issue FROM paired)
+    UNION ALL SELECT 'unmatched_' || source, CASE WHEN source = 'bank' THEN id END, CASE WHEN source = 'ledger' THEN id END, NULL, reason, NULL FROM ({_MISSING})""",
+    "headline": f"{_FLAGS} SELECT (SELECT count(*) FROM (WITH {PAIRS} SELECT 1 FROM pairs))::BIGINT AS matched, (SELECT count_if(source = 'bank') FROM ({_MISSING}))::BIGINT AS unmatched_bank, (SELECT count_if(source = 'ledger') FROM ({_MISSING}))::BIGINT AS unmatched_ledger, (SELECT count(*) FROM flags)::BIGINT AS anomalies, (SELECT amount FROM ({SQL['summary']}) WHERE item = 'Difference to explain')::DECIMAL(28,2) AS difference, (SELECT amount FROM ({SQL['summary']}) WHERE item = 'UNEXPLAINED')::DECIMAL(28,2) AS unexplained",
+    "model_rows": f"WITH {BASE} SELECT customer, d AS date, 'pay [1] to ' || p AS description, 'N' || k AS reference, a AS amount FROM payments",
+    "model_answers": PAIR_K.replace("~", "abs(b.amount - l.amount)::DECIMAL(18,2) AS gap, abs(date_diff('day', b.date, l.date))::BIGINT AS days, (b.ord // 4) % 3 = 0 AS is_match, ((b.ord // 4) % 11) / 10.0::DOUBLE AS confidence, 'rows {of} ' || (b.ord // 4) AS reasoning"),
+}

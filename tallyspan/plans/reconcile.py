@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import anomalies, matching, report
+from ..shared import keep
 
 
 @dataclass
@@ -52,8 +53,11 @@ class Reconciliation:
 
 
 def reconcile(bank: DataFrame, ledger: DataFrame) -> Reconciliation:
+    """The run. Both sides and what is left of them are stored once, as every stage and tab
+    reads them."""
+    bank, ledger = keep(bank, "bank"), keep(ledger, "ledger")
     pairs = matching.match(bank, ledger)
-    left = matching.leftovers(bank, pairs, "bank_id"), matching.leftovers(ledger, pairs, "ledger_id")
+    left = (keep(matching.leftovers(side, pairs, column), "left") for side, column in ((bank, "bank_id"), (ledger, "ledger_id")))
     return Reconciliation(bank, ledger, pairs, report.paired(pairs, bank, ledger), *left)
 
 

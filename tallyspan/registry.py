@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import money, narration, text
-from .operators import anomalies, audits, matching, report, semantic
-from .plans import projection
+from .operators import anomalies, answers, audits, matching, report, semantic
+from .plans import payload, projection
 from .plans.reconcile import anomaly_rows, reconcile
 
 
@@ -186,6 +186,60 @@ def anomaly_report(spark, sf_dir):
     return anomaly_rows(r.flags(), r.bank.unionByName(r.ledger)).groupBy("rule", "source").agg(F.count("*").alias("rows"), F.count_distinct("flag_id").alias("flags"))
 
 
+def anomaly_rows_all(spark, sf_dir):
+    """Each transaction of each flag of the whole run."""
+    r = reconcile(*_sides(spark, sf_dir))
+    return anomaly_rows(r.flags(), r.bank.unionByName(r.ledger)).select("rule", "source", "id", "date", "amount")
+
+
+anomaly_rows_all.__name__ = "anomaly_rows"
+
+
+def run_payload(spark, sf_dir):
+    """The JSON entries of the whole run, but for its flags, read back."""
+    rows = payload.entries(reconcile(*_sides(spark, sf_dir)))
+    field = lambda *paths: F.coalesce(*[F.get_json_object("body", f"$.{p}") for p in paths])
+    bank = F.when(F.col("section") == "unmatched_bank", field("id")).otherwise(field("bank.id"))
+    ledger = F.when(F.col("section") == "unmatched_ledger", field("id")).otherwise(field("ledger.id"))
+    return rows.where("section <> 'anomalies'").select("section", bank.alias("bank_id"), ledger.alias("ledger_id"), field("rule").alias("rule"), field("issue", "reason").alias("note"), field("difference").cast("decimal(28,2)").alias("difference"))
+
+
+def headline(spark, sf_dir):
+    return payload.headline(payload.entries(reconcile(*_sides(spark, sf_dir))))
+
+
+def model_rows(spark, sf_dir):
+    """Answers that hold rows as JSON, bare, wrapped or fenced, made from orders and read."""
+    rows = projection.payments(spark, sf_dir).groupBy("customer").agg(F.sort_array(F.collect_list(F.struct("d", "k", "a", "p"))).alias("x"))
+    made = F.transform("x", lambda r: F.struct(r["d"].cast("string").alias("date"), F.concat(F.lit("pay [1] to "), r["p"]).alias("description"), F.concat(F.lit("N"), r["k"]).alias("reference"), F.when(r["a"] < 0, (-r["a"]).cast("string")).alias("debit"), F.when(r["a"] >= 0, r["a"].cast("string")).alias("credit")))
+    body = F.to_json(made)
+    said = F.when(F.col("customer") % 3 == 0, body).when(F.col("customer") % 3 == 1, F.concat(F.lit('{"rows": '), body, F.lit("}"))).otherwise(F.concat(F.lit("Here they are:\n```json\n"), body, F.lit("\n```\n")))
+    read = rows.select("customer", F.explode(answers.rows_of(said)).alias("r")).select("customer", "r.*")
+    amount = F.coalesce(money.parse_amount(F.col("credit")), F.lit(0)) - F.coalesce(money.parse_amount(F.col("debit")), F.lit(0))
+    return read.select("customer", money.parse_date(F.col("date")).alias("date"), "description", "reference", amount.cast("decimal(18,2)").alias("amount"))
+
+
+def model_answers(spark, sf_dir):
+    """Questions about pairs, and answers with prose around them, made from orders and read."""
+    rows = _pairs_of_k(spark, sf_dir)
+    k = F.col("k")
+    said = F.concat(F.when(k % 2 == 0, "Sure.\n```json\n").otherwise(""), F.to_json(F.struct(F.concat(F.lit("rows {of} "), k).alias("reasoning"), (k % 3 == 0).alias("is_match"), (k % 11 / 10).alias("confidence"))), F.when(k % 2 == 0, "\n```").otherwise(""))
+    read = rows.select("bank_id", "ledger_id", answers.question().alias("q"), answers.confirmation_of(said).alias("x"))
+    return read.select("bank_id", "ledger_id", F.regexp_extract("q", r"differ by ([0-9.]+) \(", 1).cast("decimal(18,2)").alias("gap"), F.regexp_extract("q", r"and ([0-9]+) day", 1).cast("long").alias("days"), "x.is_match", "x.confidence", "x.reasoning")
+
+
+def match_hot_amounts(spark, sf_dir):
+    """Line items as payments of fifty amounts: every amount has a large share of the rows."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    k = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    party = F.substring(F.md5((F.col("l_suppkey") % 40).cast("string")), 1, 6)
+    side = lambda source, p, date, said, ref: items.select(F.concat(F.lit(p), k).alias("id"), k.alias("ord"), F.lit(source).alias("source"), date.alias("date"), F.col("l_quantity").cast("decimal(18,2)").alias("amount"), said.alias("description"), ref.alias("reference"), F.array().cast("array<string>").alias("alt_references"))
+    day = F.to_date("l_shipdate")
+    bank = side("bank", "B", day, F.concat(F.lit("NEFT "), party), F.when(k % 3 == 0, F.concat(F.lit("R"), k)))
+    ledger = side("ledger", "L", F.date_add(day, (k % 3).cast("int")), F.concat(F.lit("Payment to "), party), F.when(k % 5 != 0, F.concat(F.lit("R"), k)))
+    return matching.match_exact(bank, ledger).withColumn("similarity", F.round("similarity", 6))
+
+
 def match_issues(spark, sf_dir):
     return reconcile(*_sides(spark, sf_dir)).paired.select("bank_id", "ledger_id", "issue")
 
@@ -237,9 +291,11 @@ def client_activity(spark, sf_dir):
 
 def run_history(spark, sf_dir):
     """Every client's runs, newest first."""
-    runs = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    newest = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
-    return runs.select(F.col("o_custkey").cast("long").alias("client_id"), F.col("o_orderkey").cast("long").alias("run_id"), F.to_date("o_orderdate").alias("created"), newest.cast("long").alias("place"))
+    from .operators.history import run_list
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    runs = orders.select(F.col("o_custkey").cast("long").alias("client_id"), F.col("o_orderkey").cast("long").alias("run_id"), F.col("o_orderdate").alias("created_at"), F.lit("").alias("headline"))
+    return run_list(runs).select("client_id", "run_id", F.to_date("created_at").alias("created"), "place")
 
 
 def retention_purge(spark, sf_dir):
@@ -251,10 +307,9 @@ def retention_purge(spark, sf_dir):
 
 
 def cosine_topk(spark, sf_dir):
-    """For every hundredth vector, the three nearest of the odd ones."""
+    """For every vector whose id is divisible by 100, the three nearest of all others."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").cast("long").alias("ord"), F.col("embedding").alias("vector"))
-    queries, others = rows.where("ord % 100 = 0"), rows.where("ord % 2 = 1")
-    found = semantic.shortlist(queries, others, least=-1.0, blocks=8)
+    found = semantic.shortlist(rows.where("ord % 100 = 0"), rows, least=-1.0, blocks=8, same=False)
     return found.select(F.col("bank_id").cast("long").alias("query"), F.col("ledger_id").cast("long").alias("found"), F.round("score", 4).alias("score"), F.col("place").cast("long").alias("place"))
 
 
@@ -265,10 +320,11 @@ def _confirm(batch):
 
 
 def semantic_match(spark, sf_dir):
-    """Leftovers of two in a hundred orders against all, with a vector of letters' counts."""
+    """Bank leftovers whose ord is divisible by 100, as stated queries, against all leftovers of
+    the ledger, with a vector of letters' counts."""
     bank, ledger = _after_exact(spark, sf_dir)
     letters = lambda rows: rows.withColumn("vector", F.transform(F.array(*map(F.lit, "abcdef0123456789")), lambda c: F.regexp_count(F.lower("description"), c).cast("double")))
-    found = semantic.match_semantic(letters(bank.where("floor(ord / 4) % 100 IN (2, 3)")), letters(ledger), _confirm, blocks=8)
+    found = semantic.match_semantic(letters(bank.where("ord % 100 = 0")), letters(ledger), _confirm, blocks=8)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -322,7 +378,7 @@ QUERIES = {
     for f in (
         summary, bank_transactions, ledger_transactions, fee_gap, distinctive_tokens, token_dice, reference_match, citation_label, narration_parse,
         match_exact_candidates, match_exact, corroboration_mix, unmatched_bank, unmatched_ledger, near_candidates, match_near, unexplained, recon_identity, completeness, stage1_exact,
-        dup_payments, threshold_avoidance, round_numbers, mirrored_entries, timing_gaps, dup_collapsed, anomaly_report, match_issues, _review("amount"), _review("date"), _review("weak"), classify_unmatched,
+        dup_payments, threshold_avoidance, round_numbers, mirrored_entries, timing_gaps, dup_collapsed, anomaly_report, anomaly_rows_all, run_payload, headline, model_rows, model_answers, match_hot_amounts, match_issues, _review("amount"), _review("date"), _review("weak"), classify_unmatched,
         balance_audit, footing_check, client_activity, run_history, retention_purge, cosine_topk, semantic_match, ledger_convention, layout_parse, sheet_ingest,
     )
 }

@@ -1,17 +1,36 @@
-"""Places in the folder that driver and executors share."""
+"""Places in the folder that driver and executors share, and tables stored there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a temporary folder serves a single machine; a
+    cluster has to name one that all its machines share."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
         held = sc._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="tallyspan-")
-    return f"{folder.rstrip('/')}/tallyspan-{sc.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+        folder = held.get() if held.isDefined() else None
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tallyspan-")
+        sc.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/tallyspan-{sc.applicationId}"
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame once to the shared folder and return it re-read: its lineage ends there, so
+    a lost executor costs a re-read, and its size is known to the planner."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

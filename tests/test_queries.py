@@ -20,7 +20,7 @@ def db():
 
 
 #: One query of each stage: all of them run in the driver's own comparison.
-SAMPLE = ("summary", "match_exact", "narration_parse", "dup_payments", "round_numbers", "balance_audit", "layout_parse", "sheet_ingest", "classify_unmatched", "cosine_topk", "ledger_convention")
+SAMPLE = ("summary", "match_exact", "narration_parse", "dup_payments", "round_numbers", "balance_audit", "layout_parse", "sheet_ingest", "classify_unmatched", "cosine_topk", "ledger_convention", "anomaly_rows", "anomaly_report", "run_payload", "headline", "model_rows", "model_answers", "mirrored_entries", "match_near")
 
 
 @pytest.mark.parametrize("name", SAMPLE)
