@@ -37,25 +37,41 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _ranged(rows: DataFrame, label: str, *order: Column) -> DataFrame:
+    """rows dealt in ranges of an order, stored, with `part`: the number of the range."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keep(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), label)
+
+
+def _before(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows (part) with the sums over all rows before each one: first over whole parts, of which
+    there are as many as shuffle partitions, then within each part."""
+    parts = rows.groupBy("part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(F.broadcast(parts), "part")
+    return joined.withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).drop(*[f"_{n}" for n in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
     """source, docs, source_size, target for each source. Weights repeat over the sources in
     code point order. What a capped source can't take is reshared by weight: a source is
     capped when its cap per weight is below the level c that solves
-    sum(min(cap, c * weight)) = total. Sorted by cap per weight, the capped ones are a
-    prefix, so one running sum finds c. One row a source is all that is ordered here."""
-    # pmod of the rank picks the weight; ranks run over one row per source
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    sum(min(cap, c * weight)) = total. Sorted by cap per weight, the capped ones are a prefix,
+    so running sums find c. Ranks and running sums go over ranges of the sources, so there may
+    be as many as web sites."""
+    by_name = [F.col("source").asc_nulls_last()]
+    ranked = _before(_ranged(sizes, "sources", *by_name), by_name, rank=F.lit(1)).drop("part")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
-    caps = ranked.withColumn("weight", weight).withColumn("cap", epochs * F.col("source_size"))
-    everything = Window.partitionBy()
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_level.rowsBetween(0, Window.unboundedFollowing)
-    total = share * F.sum("source_size").over(everything)
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    fits = F.col("cap") / F.col("weight") > F.col("level")
-    found = caps.withColumn("level", level).withColumn("c", F.min(F.when(fits, F.struct(F.col("cap") / F.col("weight"), "rank", "level"))).over(everything)["level"])
-    return found.select("source", "docs", "source_size", F.when(F.col("c").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("c") * F.col("weight"))).alias("target"))
+    caps = ranked.withColumn("weight", weight).withColumn("cap", epochs * F.col("source_size")).withColumn("per_weight", F.col("cap") / F.col("weight"))
+    by_level = [F.col("per_weight").asc(), F.col("rank").asc()]
+    caps = keep(_before(_ranged(caps, "source-caps", *by_level), by_level, caps_before=F.col("cap"), weights_before=F.col("weight")), "source-levels")
+    whole = caps.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(share * (whole["size"] or 0)) - F.col("caps_before")) / (F.lit(whole["weight"] or 1.0) - F.col("weights_before"))
+    c = caps.where(F.col("per_weight") > level).agg(F.min_by(level, F.struct("per_weight", "rank")).alias("c")).first()["c"]
+    target = F.col("cap") if c is None else F.least("cap", F.lit(c) * F.col("weight"))
+    return caps.select("source", "docs", "source_size", target.alias("target"))
 
 
 def ordered(rows: DataFrame, sources: DataFrame) -> DataFrame:

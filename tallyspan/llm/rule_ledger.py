@@ -51,35 +51,33 @@ def _bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Texts of up to 2^16 windows sort one long per window (48 bits of hash over 16 of position),
-#: several times as fast as the pairs (64 bits of hash, position) that longer texts sort.
-_PACKED = 1 << 16
-
-
 def _repeat_words(words: Column) -> Column:
-    """Words that lie in a 3-word window found at least twice in the text."""
-
-    def hashes(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-
-    def starts(keyed: Column, key, position) -> Column:
-        """Sorted starts of the windows whose key stands beside an equal one in sorted order."""
-        alike = lambda x, y: F.coalesce(key(x) == key(y), F.lit(False))
-        beside = lambda s: lambda x, k: alike(x, F.get(s, k - 1)) | alike(x, F.get(s, k + 1))
-        return _bind(F.sort_array(keyed), lambda s: F.sort_array(F.transform(F.filter(s, beside(s)), position)))
+    """Words that lie in a 3-word window found at least twice in the text. Windows are sorted as
+    longs: a hash above, the position in as many bits as the text needs below. Neighbours with
+    equal hashes are the same window when their words are."""
+    n = F.size(words) - 2
+    bits = F.length(F.bin(n))
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+
+    def keys(w: Column, bits: Column) -> Column:
+        window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.call_function("shiftleft", window(i), bits).bitwiseOR(i.cast("long")))
+
+    def found(w: Column, bits: Column, low: Column, s: Column) -> Column:
+        at = lambda x: x.bitwiseAND(low).cast("int")
+        high = lambda x: F.call_function("shiftrightunsigned", x, bits)
+        same = lambda i, j: (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+        alike = lambda x, y: F.coalesce((high(x) == high(y)) & same(at(x), at(y)), F.lit(False))
+        repeated = F.filter(s, lambda x, k: alike(x, F.get(s, k - 1)) | alike(x, F.get(s, k + 1)))
+        return F.sort_array(F.transform(repeated, at))
 
     def covered(p: Column) -> Column:
         step = lambda acc, k: acc + F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - F.get(p, k), F.lit(3)))
         return F.when(F.size(p) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0), step))
 
-    def found(h: Column) -> Column:
-        packed = F.transform(h, lambda x, i: x.bitwiseAND(F.lit(-_PACKED)).bitwiseOR(i.cast("long")))
-        pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
-        short = starts(packed, lambda x: F.shiftright(x, 16), lambda x: x.bitwiseAND(F.lit(_PACKED - 1)).cast("int"))
-        return F.when(F.size(h) <= _PACKED, short).otherwise(starts(pairs, lambda x: x["h"], lambda x: x["i"]))
-
-    count = lambda w: _bind(_bind(hashes(w), found), covered)
-    return F.when(F.size(words) < 4, 0).otherwise(_bind(words, count))
+    held = F.struct(words.alias("w"), bits.alias("bits"), low.alias("low"))
+    sort = lambda x: _bind(F.sort_array(keys(x["w"], x["bits"])), lambda s: found(x["w"], x["bits"], x["low"], s))
+    return F.when(F.size(words) < 4, 0).otherwise(_bind(held, lambda x: _bind(sort(x), covered)))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -216,7 +216,8 @@ PARSED = "page_id long, url string, site string, page long, blocks array<struct<
 
 def parsed(pages: DataFrame) -> DataFrame:
     """Every page's blocks, content features and presentations, parsed once; `page` is a hash of
-    the blocks that are not dropped, equal for copies of a page."""
+    the blocks that are not dropped, equal for copies of a page; `row` numbers the rows, once
+    they are stored."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("dropped", pa.bool_()), ("inside", pa.bool_()), ("linked", pa.int32())]))
@@ -234,15 +235,18 @@ def parsed(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same, pa.int64()), pa.array(rows, block), pa.array(own, value), pa.array(looks, value)], names)
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), site(F.col("url")).alias("site"), F.col("html").cast("string"))
-    return rows.mapInArrow(parse, PARSED)
+    return rows.mapInArrow(parse, PARSED).withColumn("row", F.monotonically_increasing_id())
 
 
 def tree(pages: DataFrame) -> DataFrame:
-    """site, path, importance, pages (different ones that have the element) and share (of the
-    site's text) of every element of every site. All counts are sums by site, path and hash that are made in part before each
+    """pages: parsed ones with `row`, a number of their own. Gives site, path, importance, pages
+    (different ones that have the element) and share (of the site's text) of every element. All counts are sums by site, path and hash that are made in part before each
     shuffle, so a hot site is only more counts."""
-    once = pages.groupBy("site", "page").agg(F.first("features").alias("features"), F.first("looks").alias("looks"), F.first(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.length(b["text"]).alias("size"), b["linked"].alias("linked"), b["inside"].alias("inside")))).alias("sizes"))
-    once = keep(once, "pages-once")
+    named = pages.select("site", "page", "row")
+    first = named.groupBy("site", "page").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = keep(named.join(first, ["site", "page"]).where("row <> first").select("row"), "copies")
+    once = pages.join(copies, "row", "left_anti")
+    sizes = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.length(b["text"]).alias("size"), b["linked"].alias("linked"), b["inside"].alias("inside")))
     log_m = F.log(F.greatest("m", F.lit(2)))
     # content: a feature that k of the m pages have, once each, has the entropy log k to the base m
     each = once.select("site", F.explode("features").alias("x")).groupBy("site", "x.path", "x.value").agg(F.count("*").alias("k"))
@@ -254,7 +258,7 @@ def tree(pages: DataFrame) -> DataFrame:
     inner = looks.groupBy("site", "path").agg(F.sum("k").alias("m"), F.count("*").alias("l"), F.sum(F.col("k") * F.log("k")).alias("k_log_k"))
     inner = inner.select("site", "path", "m", "l", F.when(F.col("m") < 2, 1.0).otherwise((F.log("m") - F.col("k_log_k") / F.col("m")) / log_m).alias("presentation"))
     # of text in links, by element and by all around it
-    text = once.select("site", F.explode("sizes").alias("x")).groupBy("site", "x.path").agg(F.sum("x.size").alias("size"), F.sum("x.linked").alias("linked"), F.max("x.inside").alias("inside"))
+    text = once.select("site", F.explode(sizes).alias("x")).groupBy("site", "x.path").agg(F.sum("x.size").alias("size"), F.sum("x.linked").alias("linked"), F.max("x.inside").alias("inside"))
     leaf = keep(leaf.join(text, ["site", "path"], "full_outer"), "leaves")
     around = leaf.select("site", F.explode(_ancestors(F.col("path"))).alias("path"), "content", "m", "size", "linked").groupBy("site", "path").agg(
         (F.sum(F.col("content") * F.col("m")) / F.sum(F.when(F.col("content").isNotNull(), F.col("m")))).alias("below"), F.sum("size").alias("size"), F.sum("linked").alias("linked")
@@ -291,7 +295,7 @@ def template(pages: DataFrame, importance: float = IMPORTANCE) -> DataFrame:
 def extract(pages: DataFrame, declarations: bool = True, importance: float = IMPORTANCE) -> DataFrame:
     """page_id, url, text, n_chars and removed (blocks that the tree removes) of every page. The
     template's paths are broadcast while they number at most BROADCAST_PATHS, else joined."""
-    own = keep(parsed(pages), "parsed-pages")
+    own = keep(parsed(pages), "parsed-pages", "zstd")
     low = template(own, importance)
     gone = low.groupBy("site").agg(F.collect_set("path").alias("gone"))
     if low.count() <= BROADCAST_PATHS:

@@ -7,14 +7,19 @@ names of persons after a form of address or a known given name of five letters o
 alone in the same text, capitalised (initials excepted). Every entity has a canonical
 form (lower case, digits alone, ...). Its surrogate is drawn from HMAC(key, kind, canonical,
 attempt) and put into the mention's own format: separators, letter case, country code, card
-brand and check digits, label count; names keep script and gender, and given and family names
-are mapped apart, so "Ms Hale" and "Ruth Hale" stay one family.
+brand and check digits, label counts and lengths; names keep script and gender, and given and
+family names are mapped apart, so "Ms Hale" and "Ruth Hale" stay one family. Family names that
+have a form for each gender (Иванов, Иванова) are one entity, whose surrogate has both forms.
+An address's domain is an entity of its own, so one domain becomes one domain (under a reserved
+ending) and two become two.
 
 Distinctness is checked, not hoped for: all distinct entities of the corpus are assigned
 surrogates at once, and of those that share one, or whose surrogate is another entity's own
-canonical form, all but the first draw again until none do. Only those few (attempt > 0) have
-to be known when texts are rewritten; everything else follows from the key. They are
-broadcast while there are at most BROADCAST_REDRAWN of them, else joined to their documents.
+canonical form, all but the first draw again until none do; from attempt GROWS on surrogates
+become longer, so that the rounds end even where a shape has fewer values than entities. Only
+those few (attempt > 0) have to be known when texts are rewritten; everything else follows from
+the key, which is the caller's. They are broadcast while there are at most BROADCAST_REDRAWN of
+them, else joined to their documents.
 
 Defined results: a null text stays null, texts without entities come back unchanged, long
 texts are searched whole, repeated rows give equal results, an empty table gives no rows,
@@ -35,7 +40,14 @@ from pyspark.sql import functions as F
 
 from .tables import keep, read
 
-KEY = b"a key of the caller's own"
+#: The setting that holds a run's key. Without it the query below uses a published key, which
+#: hides nothing from who reads this; a run on real data has to set its own.
+KEY_SETTING = "spark.tallyspan.surrogates.key"
+PUBLISHED_KEY = "published: set your own"
+#: From this attempt on, each attempt makes a surrogate one character longer.
+GROWS = 6
+#: An address's attempt is its own and that of its domain, in bits above these.
+DOMAIN_BITS = 16
 #: About 200 bytes each.
 BROADCAST_REDRAWN = 50_000
 
@@ -53,7 +65,10 @@ SYLLABLES = {
     "cyrillic": "бар вер гор дол кал лен мар нор пел рен сол тур".split(),
     "greek": "βαρ γερ δορ κελ λαν μαρ νορ περ σελ τορ".split(),
 }
-ENDINGS = {"latin": "by den ford ham ley man son ton".split(), "cyrillic": "енко ин ов ский".split(), "greek": "ακης ιδης ου πουλος".split()}
+ENDINGS = {"latin": "by den ford ham ley man son ton".split(), "cyrillic": "енко чук ян".split(), "greek": "ακης ιδης πουλος".split()}
+#: Endings of family names that have a form for each gender: of men, of women.
+GENDERED = {"cyrillic": (("ский", "ская"), ("цкий", "цкая"), ("ов", "ова"), ("ев", "ева"), ("ин", "ина"))}
+WOMEN = {"greek": "ακη ιδη πουλου".split()}
 ADDRESS = {
     "Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "г-н": "m", "господин": "m", "κ": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "г-жа": "f", "госпожа": "f", "κα": "f",
@@ -90,6 +105,12 @@ def script(word: str) -> str:
     return "cyrillic" if re.search(r"[Ѐ-ӿ]", word) else "greek" if re.search(r"[Ͱ-Ͽἀ-῿]", word) else "latin"
 
 
+def family(name: str) -> str:
+    """The canonical form of a family name: a man's, where women's differ."""
+    said = name.casefold()
+    return next((said[: -len(f)] + m for m, f in GENDERED.get(script(name), ()) if said.endswith(f)), said)
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical) in order, not overlapping; earlier kinds win."""
     found: list[tuple[int, int, str, str]] = []
@@ -120,10 +141,10 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 if len(parts) == 2:
                     add(at, at + len(parts[0]), f"given:{ADDRESS[m['title']]}:{script(parts[0])}", parts[0].casefold())
                     at += len(parts[0]) + 1
-                add(at, at + len(parts[-1]), f"family:{script(parts[-1])}", parts[-1].casefold())
+                add(at, at + len(parts[-1]), f"family:{script(parts[-1])}", family(parts[-1]))
             elif kind == "given_name":
                 add(*m.span("given"), f"given:{_GENDER[m['given'].casefold()]}:{script(m['given'])}", m["given"].casefold())
-                add(*m.span("family"), f"family:{script(m['family'])}", m["family"].casefold())
+                add(*m.span("family"), f"family:{script(m['family'])}", family(m["family"]))
             else:
                 add(*m.span(), kind, m[0].lower() if kind == "email" else m[0])
     names = {text[start:end].casefold(): kind for start, end, kind, _ in sorted(found, reverse=True) if end - start > 1 and kind.startswith(("given:", "family:"))}
@@ -131,7 +152,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         whole = m[0].casefold() in names
         for part in [m] if whole else re.compile(rf"{_WORD}+").finditer(text, *m.span()):
             if part[0][0].isupper() and (kind := names.get(part[0].casefold())):
-                add(*part.span(), kind, part[0].casefold())
+                add(*part.span(), kind, family(part[0]) if kind.startswith("family:") else part[0].casefold())
     return sorted(found)
 
 
@@ -167,47 +188,60 @@ class Draw:
 
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     """The canonical form of the entity that stands for this one."""
-    draw = Draw(key, kind, canonical, str(attempt))
+    own = attempt & (1 << DOMAIN_BITS) - 1 if kind == "email" else attempt
+    draw = Draw(key, kind, canonical, str(own))
+    digits = lambda n: "".join(draw.pick("0123456789") for _ in range(n))
+    letters = lambda n: "".join(draw.pick("bdfgklmnprstvz") for _ in range(n))
+    more = max(0, own - GROWS + 1)
     if kind == "email":
         local, _, domain = canonical.partition("@")
-        # one domain becomes one domain, whoever writes from it
-        of_domain, labels = Draw(key, "domain", domain), domain.split(".")
-        host = ".".join([*map(of_domain.like, labels[:-2]), of_domain.pick(["example.com", "example.net", "example.org"])])
-        return f"{draw.like(local)}{''.join(draw.pick('bdfgklmnprstvz') + draw.pick('aeiou') for _ in range(2 + attempt))}@{host}"
+        return f"{draw.like(local)}{letters(more)}@{surrogate(key, 'domain', domain, attempt >> DOMAIN_BITS)}"
+    if kind == "domain":
+        labels = canonical.split(".")
+        return ".".join([*map(draw.like, labels[:-2]), draw.like(labels[-2]) + letters(more), draw.pick(["example", "invalid", "test"])])
     if kind == "ip":
-        return ".".join(str(draw.below(n) + low) for n, low in ((222, 1), (256, 0), (256, 0), (254, 1)))
+        body = ".".join(str(draw.below(n) + low) for n, low in ((222, 1), (256, 0), (256, 0), (254, 1)))
+        return body + "".join(f".{draw.below(256)}" for _ in range(more))
     if kind == "card":
-        body = canonical[0] + "".join(draw.pick("0123456789") for _ in canonical[1:-1])
-        checked = next(body + c for c in "0123456789" if luhn(body + c))
-        return checked if luhn(canonical) else body + str((int(checked[-1]) + 1 + draw.below(9)) % 10)
+        body = canonical[0] + digits(len(canonical) - 2 + more)
+        return next(body + c for c in "0123456789" if luhn(body + c))
     if kind == "ssn":
-        return "9" + "".join(draw.pick("0123456789") for _ in canonical[1:])
+        return "9" + digits(len(canonical) - 1 + more)
     if kind == "phone":
         n = max(7, min(10, len(canonical) - 1))
-        return canonical[:-n] + draw.pick("23456789") + "".join(draw.pick("0123456789") for _ in range(n - 1)) if len(canonical) > 7 else "".join(draw.pick("23456789") for _ in canonical)
+        return (canonical[:-n] + draw.pick("23456789") + digits(n - 1) if len(canonical) > 7 else "".join(draw.pick("23456789") for _ in canonical)) + digits(more)
     if kind == "iban":
-        return canonical[:2] + "".join(draw.pick("0123456789") if c.isdigit() else draw.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in canonical[2:])
+        return canonical[:2] + "".join(draw.pick("0123456789") if c.isdigit() else draw.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in canonical[2:]) + digits(more)
     if kind == "access_key":
-        return canonical[:4] + "".join(draw.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in canonical[4:])
+        return canonical[:4] + "".join(draw.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in canonical[4:]) + digits(more)
     if kind.startswith("given:"):
         _, gender, of = kind.split(":")
         # a name of the list first, then double names, of which there are ever more
-        return "-".join(draw.pick(GIVEN[gender, of]) for _ in range(1 + attempt)).casefold()
+        return "-".join(draw.pick(GIVEN[gender, of]) for _ in range(1 + own)).casefold()
     if kind.startswith("family:"):
         of = kind.split(":")[1]
-        return "".join(draw.pick(SYLLABLES[of]) for _ in range(2 + attempt)) + draw.pick(ENDINGS[of])
-    return draw.like(canonical)
+        forms = GENDERED.get(of, ())
+        if any(canonical.endswith(m) for m, _ in forms):
+            endings = [m for m, _ in forms]
+        else:
+            endings = WOMEN[of] if of in WOMEN and canonical.endswith(("η", "α", "ου", "ή", "ά", "ού")) else ENDINGS[of]
+        return "".join(draw.pick(SYLLABLES[of]) for _ in range(2 + own)) + draw.pick(endings)
+    return draw.like(canonical) + letters(more)
 
 
 def in_format(mention: str, kind: str, value: str) -> str:
     """A surrogate's canonical form as this mention would have written it."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(value)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "iban":
         letters = iter(value)
-        return "".join(c if c == " " else next(letters) for c in mention)
+        return "".join(c if c == " " else next(letters) for c in mention) + "".join(letters)
     if kind.startswith(("given:", "family:")):
+        if kind.startswith("family:"):
+            forms = GENDERED.get(kind.split(":")[1], ())
+            if any(mention.casefold().endswith(f) for _, f in forms):
+                value = next((value[: -len(m)] + f for m, f in forms if value.endswith(m)), value)
         return value.upper() if mention.isupper() and len(mention) > 1 else "-".join(p.capitalize() for p in value.split("-"))
     return value.upper() if kind == "email" and mention.isupper() else value
 
@@ -216,15 +250,28 @@ def _hinted(texts: pa.Array) -> list[bool]:
     return pc.fill_null(pc.match_substring_regex(texts, _HINT), False).to_pylist()
 
 
-def assign(docs: DataFrame, key: bytes = KEY, text: str = "text", draw: Callable = surrogate) -> DataFrame:
-    """kind, canonical, surrogate, attempt of every distinct entity in docs. Within a kind no
-    surrogate is shared, and none is the canonical form of an entity in docs."""
+def assign(docs: DataFrame, key: bytes, text: str = "text", draw: Callable = surrogate) -> DataFrame:
+    """kind, canonical, surrogate, attempt of every distinct entity in docs, and of the domains
+    of addresses. Within a kind no surrogate is shared, and none is the canonical form of an
+    entity in docs. Domains are settled first, as addresses are made of theirs."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hinted = batch.column(0).filter(pa.array(_hinted(batch.column(0)), pa.bool_()))
-            found = sorted({(kind, canonical) for t in hinted for _, _, kind, canonical in entities(t.as_py())})
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], ["kind", "canonical"])
+            found = {(kind, canonical) for t in hinted for _, _, kind, canonical in entities(t.as_py())}
+            found |= {("domain", canonical.partition("@")[2]) for kind, canonical in found if kind == "email"}
+            kinds, names = zip(*sorted(found), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(names, pa.string())], ["kind", "canonical"])
+
+    every = keep(docs.select(F.col(text).cast("string")).mapInArrow(find, "kind string, canonical string").distinct(), "entities")
+    plain = _distinct_surrogates(every.where("kind <> 'email'").withColumn("attempt", F.lit(0)), key, draw)
+    of_domain = plain.where("kind = 'domain'").select(F.col("canonical").alias("domain"), (F.col("attempt") * (1 << DOMAIN_BITS)).alias("attempt"))
+    mails = every.where("kind = 'email'").withColumn("domain", F.substring_index("canonical", "@", -1)).join(of_domain, "domain").drop("domain")
+    return plain.unionByName(_distinct_surrogates(mails, key, draw))
+
+
+def _distinct_surrogates(entities_: DataFrame, key: bytes, draw: Callable) -> DataFrame:
+    """kind, canonical, attempt and surrogate, drawn until no two of a kind are equal."""
 
     def drawn(rows: DataFrame) -> DataFrame:
         def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +281,7 @@ def assign(docs: DataFrame, key: bytes = KEY, text: str = "text", draw: Callable
 
         return rows.select("kind", "canonical", "attempt").mapInArrow(value, "kind string, canonical string, attempt int, surrogate string")
 
-    every = docs.select(F.col(text).cast("string")).mapInArrow(find, "kind string, canonical string").distinct()
-    now = keep(drawn(every.withColumn("attempt", F.lit(0))), "surrogates")
+    now = keep(drawn(entities_), "surrogates")
     while True:
         # an entity that drew first keeps its surrogate; later attempts and later names give way
         turn = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "canonical"))
@@ -249,7 +295,7 @@ def assign(docs: DataFrame, key: bytes = KEY, text: str = "text", draw: Callable
         now = keep(checked.where("NOT clash").drop("clash").select("kind", "canonical", "attempt", "surrogate").unionByName(again), "surrogates")
 
 
-def replace(docs: DataFrame, key: bytes = KEY, id_column: str = "doc_id", text: str = "text", draw: Callable = surrogate) -> DataFrame:
+def replace(docs: DataFrame, key: bytes, id_column: str = "doc_id", text: str = "text", draw: Callable = surrogate) -> DataFrame:
     """doc_id, text with surrogates for all entities, n_entities and kinds (sorted, distinct)."""
     redrawn = keep(assign(docs, key, text, draw).where("attempt > 0").select("kind", "canonical", "attempt"), "redrawn")
     spark, rows = docs.sparkSession, docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -293,7 +339,7 @@ def _with_redrawn(rows: DataFrame, redrawn: DataFrame) -> DataFrame:
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(read(spark, sf_dir, "documents"))
+    return replace(read(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, PUBLISHED_KEY).encode())
 
 
 QUERIES = {"op1_surrogates": op1_surrogates}

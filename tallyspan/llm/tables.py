@@ -13,13 +13,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (single machine) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one
+    serves a single machine; a cluster has to name one."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
         held = sc._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallyspan-")
         sc.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/tallyspan-{sc.applicationId}"
@@ -29,11 +32,11 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+def keep(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write a frame once to the shared folder and return it re-read: lineage ends there,
     so a lost executor costs a re-read, and nothing upstream runs twice."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -380,8 +380,9 @@ def classes_of(texts: DataFrame, named: DataFrame, idf: Idf) -> DataFrame:
     of the buckets whose texts stars have not put in one class, in blocks. texts: text_id,
     bands; named: text_id, text, of rows that may repeat a text."""
     members = bucketed(texts)
-    own = named.join(members.select("text_id").distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.min("text").alias("text"))
-    own = keep(own, "bucket-texts")
+    # one row a text first: copies are merged before the shuffle, and the join follows its deal
+    own = named.where("text_id IS NOT NULL").groupBy("text_id").agg(F.min("text").alias("text"))
+    own = keep(own.join(members.select("text_id").distinct(), "text_id"), "bucket-texts")
     found = keep(verify(stars(members), own, idf), "compared")
     links = found.where(F.col("similarity") >= SIMILARITY)
     labels = components(links).withColumnRenamed("id", "text_id")

@@ -139,6 +139,69 @@ def test_chains_are_ordered_and_best():
     assert len(best) >= 8 and all(a < c and b < d for (a, b), (c, d) in zip(best, best[1:], strict=False))
 
 
+def test_chains_score_as_those_of_all_predecessors():
+    """Against the chainer that tries every predecessor of every match."""
+    score = lambda own: sum([passages.SEED, *(passages.joined(0, x, y) for x, y in zip(own, own[1:], strict=False))])
+    for seed in range(200):
+        rng = random.Random(seed)
+        matches, drift = [], 0
+        for a in sorted(rng.sample(range(300), rng.randint(2, 60))):
+            drift += rng.choice([0, 0, 0, 1, -2, 7, -30, 25])
+            matches.append((a, max(0, 400 + a + drift)))
+        best = [float(passages.SEED)] * len(matches)
+        for i, (a, b) in enumerate(matches):
+            for j, (x, y) in enumerate(matches[:i]):
+                if x < a and y < b and a - x <= passages.GAP + passages.SEED and abs(a - x - b + y) <= passages.DRIFT:
+                    best[i] = max(best[i], passages.joined(best[j], (x, y), (a, b)))
+        chains = passages.chain(matches)
+        assert score(chains[0]) == pytest.approx(max(best)) and sorted(x for c in chains for x in c) == matches
+
+
+def test_a_passage_in_parts_of_two_anchors_is_found(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 60).split()
+    around = lambda own: f"{prose(rng, 50)} {' '.join(own)} {prose(rng, 50)}"
+    rows = [(1, around(passage[:32])), (2, around(passage[28:])), (3, around(passage)), (4, around(passage)), (5, around(passage))]
+    rows += [(6, prose(rng, 90)), (6, around(passage))]  # two texts under one id
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = {frozenset((r.doc_id, r.anchor_id)) for r in found if r.end - r.start >= 58}
+    assert len(linked) == 3 and set().union(*linked) == {3, 4, 5, 6}
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Passages of 100 words that every document has with words replaced at random: the share
+    of documents found, by how alike two of them are."""
+    rng, rows, alike = random.Random(11), [], {}
+    for n, rate in enumerate((0.0, 0.025, 0.05, 0.075)):  # 1, 0.95, 0.90 and 0.85 between two
+        for k in range(25):
+            passage = prose(rng, 100)
+            for side in range(2):
+                own = [prose(rng, 1) if rng.random() < rate else w for w in passage.split()]
+                doc = n * 1000 + k * 2 + side
+                alike[doc] = n
+                rows.append((doc, f"{prose(rng, 40)} {' '.join(own)} {prose(rng, 40)}"))
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {frozenset((r.doc_id, r.anchor_id)) for r in found}
+    assert all(max(p) - min(p) == 1 for p in pairs)
+    share = [sum(frozenset((n * 1000 + k * 2, n * 1000 + k * 2 + 1)) in pairs for k in range(25)) / 25 for n in range(4)]
+    assert share[0] == 1 and share[1] >= 0.95 and share[2] >= 0.8 and share[3] >= 0.5, share
+
+
+def test_exact_runs_are_all_found(spark):
+    """Brute force: every run of LEAST words that stands in two texts lies in passages of one."""
+    rng, pool = random.Random(13), [prose(random.Random(i), 45) for i in range(12)]
+    rows = [(i, " ".join(rng.choice([prose(rng, 30), rng.choice(pool)]) for _ in range(5))) for i in range(60)]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {(r.doc_id, w) for r in found for w in range(r.start, r.end)} | {(r.anchor_id, w) for r in found for w in range(r.anchor_start, r.anchor_end)}
+    where = {}
+    for i, text in rows:
+        words = text.split()
+        for at in range(len(words) - passages.LEAST + 1):
+            where.setdefault(tuple(words[at : at + passages.LEAST]), []).append((i, at))
+    shared = [place for places in where.values() if len(places) > 1 for place in places]
+    assert shared and all((i, at + k) in covered for i, at in shared for k in range(passages.LEAST))
+
+
 def test_edit_distance():
     import numpy as np
 
