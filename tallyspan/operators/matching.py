@@ -64,7 +64,12 @@ def scored(pairs: DataFrame) -> DataFrame:
 
 def exact_candidates(bank: DataFrame, ledger: DataFrame, days: int = 3) -> DataFrame:
     """All pairs of equal amount dated within `days`: one hash join on the amount."""
-    b, r = sided(prepared(bank), "bank"), sided(prepared(ledger), "ledger")
+    return candidates(prepared(bank), prepared(ledger), days)
+
+
+def candidates(bank: DataFrame, ledger: DataFrame, days: int) -> DataFrame:
+    """As exact_candidates, of prepared sides."""
+    b, r = sided(bank, "bank"), sided(ledger, "ledger")
     pairs = b.join(r, (F.col("bank_amount") == F.col("ledger_amount")) & (money.days_between(F.col("bank_date"), F.col("ledger_date")) <= days))
     return scored(pairs)
 
@@ -73,15 +78,17 @@ def match_exact(bank: DataFrame, ledger: DataFrame, days: int = 3, fuzzy: float
     """Equal amount, near date. Bank rows choose in the order of date and input: a single free
     candidate is taken; among several the most similar one, if it reaches `fuzzy` and no other
     ties with it; else none, and all stay free."""
+    bank, ledger = settle(prepared(bank)), settle(prepared(ledger))
     count = lambda rows, n: rows.groupBy("amount").agg(F.count("*").alias(n))
     shared = settle(count(bank, "n").join(count(ledger, "m"), "amount"))
     alone, several = shared.where("n = 1 AND m = 1").select("amount"), shared.where("n > 1 OR m > 1").select("amount")
-    single = exact_candidates(bank.join(alone, "amount"), ledger.join(alone, "amount"), days)
+    single = candidates(bank.join(alone, "amount"), ledger.join(alone, "amount"), days)
     rule = F.concat(F.lit("exact_amount_"), F.when(F.col("bank_date") == F.col("ledger_date"), "same_date").otherwise("near_date"))
     single = single.select("bank_id", "ledger_id", rule.alias("rule"), "similarity", "corroboration")
-    said = F.coalesce("description", F.lit(""))
-    row = lambda side, mine: prepared(side.join(several, "amount")).select("amount", "date", F.lit(mine).alias("is_bank"), "ord", "id", F.array_sort("tokens").alias("tokens"), "forms", text.normalized(said).alias("said"), F.nullif(text.normalized(F.coalesce("reference", F.lit(""))), F.lit("")).alias("reference"))
-    rows = islands(row(bank, True).unionByName(row(ledger, False)), ["amount"], days)
+    said = text.normalized(F.coalesce("description", F.lit("")))
+    reference = F.nullif(text.normalized(F.coalesce("reference", F.lit(""))), F.lit(""))
+    row = lambda side, mine: side.join(several, "amount").select("amount", "date", F.lit(mine).alias("is_bank"), "ord", "id", F.array_sort("tokens").alias("tokens"), "forms", said.alias("said"), reference.alias("reference"))
+    rows = islands(settle(row(bank, True).unionByName(row(ledger, False))), ["amount"], days)
     return single.unionByName(fold(rows, ["amount", "island"], ["date", "ord", "id"], PAIRS, lambda group: choose(group, days, fuzzy)))
 
 
@@ -256,7 +263,7 @@ def near_candidates(bank: DataFrame, ledger: DataFrame, days: int = 7, least: fl
     word blocks of a pair carry its week too, so that a frequent word is many small blocks."""
     b, r = (lambda c: F.col(f"bank_{c}")), (lambda c: F.col(f"ledger_{c}"))
     week = lambda d: F.floor(F.unix_date(d) / days).cast("long")
-    rows_b, rows_r = prepared(identifiable(bank)), prepared(identifiable(ledger))
+    rows_b, rows_r = settle(prepared(identifiable(bank))), settle(prepared(identifiable(ledger)))
     worded = lambda rows: blocks(rows, False, days).where(~F.col("block").startswith("d:"))
     left = sided(worded(rows_b).withColumn("week", week(F.col("date"))), "bank")
     right = sided(worded(rows_r).withColumn("week", F.explode(F.array(*[week(F.col("date")) + i for i in (-1, 0, 1)]))), "ledger")

@@ -97,9 +97,9 @@ def corroboration_mix(spark, sf_dir):
 
 
 def _after_exact(spark, sf_dir):
-    bank, ledger = _sides(spark, sf_dir)
+    bank, ledger = map(matching.settle, _sides(spark, sf_dir))
     pairs = matching.settle(matching.match_exact(bank, ledger))
-    return matching.leftovers(bank, pairs, "bank_id"), matching.leftovers(ledger, pairs, "ledger_id")
+    return matching.settle(matching.leftovers(bank, pairs, "bank_id")), matching.settle(matching.leftovers(ledger, pairs, "ledger_id"))
 
 
 def unmatched_bank(spark, sf_dir):
