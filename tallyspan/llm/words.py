@@ -65,6 +65,8 @@ class Words:
         within = np.arange(int(length.sum())) - np.repeat(at, length)
         with np.errstate(over="ignore"):
             value = _KEY[np.compress(inside, data)] * _POWER[within & 0xFFFF]
+            if len(length) and length.max() > len(_POWER):  # places further on differ by their block too
+                value *= np.where(within > 0xFFFF, mix((within >> 16).astype(np.uint64)) | np.uint64(1), np.uint64(1))
             total = lambda value: mix(np.add.reduceat(value, at)) if len(at) else np.empty(0, np.uint64)
             self.hashes = total(value)
             self.heads = [total(value * (within < n)) for n in heads]

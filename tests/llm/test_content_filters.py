@@ -236,6 +236,64 @@ def test_severity_on_held_out_texts(spark):
     assert (severity.train(docs, known).weights != 0).sum() < 60
 
 
+def likelihood(w, cuts, own, doc, grades):
+    s = np.bincount(doc, w[own], len(grades))
+    edges = np.concatenate([[-np.inf], cuts, [np.inf]])
+    with np.errstate(over="ignore"):
+        p = 1 / (1 + np.exp(-(edges[grades + 1] - s))) - 1 / (1 + np.exp(-(edges[grades] - s)))
+    return -np.log(p).mean()
+
+
+def test_severity_gradient_equals_differences():
+    rng = np.random.default_rng(1)
+    n, m = 80, 6
+    grades, doc = rng.integers(0, 3, n), np.repeat(np.arange(n), 3)
+    own, w, cuts = rng.integers(0, m, 3 * n), rng.normal(size=m), np.array([-0.4, 0.7])
+    by_weight, by_cut = severity.gradient(w, cuts, own, doc, grades, 3)
+    step = 1e-6
+    for i in range(m):
+        up, down = w.copy(), w.copy()
+        up[i] += step
+        down[i] -= step
+        assert by_weight[i] == pytest.approx((likelihood(up, cuts, own, doc, grades) - likelihood(down, cuts, own, doc, grades)) / (2 * step), abs=1e-6)
+    for k in range(2):
+        up, down = cuts.copy(), cuts.copy()
+        up[k] += step
+        down[k] -= step
+        assert by_cut[k] == pytest.approx((likelihood(w, up, own, doc, grades) - likelihood(w, down, own, doc, grades)) / (2 * step), abs=1e-6)
+
+
+def test_severity_fit_equals_a_plain_optimiser():
+    """Against small gradient steps, run for long: the same loss and the same order of features."""
+    rng = np.random.default_rng(2)
+    n, m = 600, 4
+    has = rng.random((n, m)) < 0.4
+    push = has @ np.array([2.5, -1.5, 1.0, 0.0]) + rng.logistic(size=n)
+    grades = (push > 0.5).astype(int) + (push > 2.5)
+    held, counts = np.nonzero(has)[1], has.sum(1)
+    model = severity.fit(held, counts, grades, l1=0.0, steps=4000)
+    used = np.flatnonzero(model.weights)
+    assert set(used) >= {0, 1} and set(used) <= {0, 1, 2, 3}
+    doc = np.repeat(np.arange(n), counts)
+    keep = np.isin(held, used)
+    own, doc = np.searchsorted(used, held[keep]), doc[keep]
+    w, cuts = np.zeros(len(used)), np.array([0.0, 1.0])
+    for _ in range(20_000):
+        g, g_cuts = severity.gradient(w, cuts, own, doc, grades, 3)
+        w, cuts = w - 0.5 * g, cuts - 0.5 * g_cuts
+    assert model.weights[used] == pytest.approx(w, abs=0.02) and model.thresholds == pytest.approx(cuts, abs=0.02)
+    assert likelihood(model.weights[used], model.thresholds, own, doc, grades) <= likelihood(w, cuts, own, doc, grades) + 1e-5
+
+
+def test_severity_of_long_and_repeated_texts(spark):
+    docs = spark.createDataFrame([(1, "fine words " * 100_000), (2, "trash " * 50_000), (2, "trash " * 50_000), (3, "fine words")], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
+    many = [(10 + i, f"fine words w{i}" if i % 2 else f"trash w{i}") for i in range(200)]
+    known = spark.createDataFrame([(i, 1, 1 - i % 2) for i, _ in many] * 2, "doc_id long, quality int, toxic int")
+    model = severity.train(spark.createDataFrame(many, "doc_id long, text string"), known)
+    found = sorted((r.doc_id, r.toxic) for r in severity.score(docs, model).collect())
+    assert found == [(1, False), (2, True), (2, True), (3, False)]
+
+
 def test_severity_of_odd_input(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "trash"), (3, "é" * 9)], "doc_id long, text string").withColumn("grade", F.lit("clash"))
     none = spark.createDataFrame([(1, None, 1), (2, 1, None)], "doc_id long, quality int, toxic int")

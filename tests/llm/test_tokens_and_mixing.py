@@ -80,6 +80,17 @@ def test_words_equal_the_pattern():
     assert found.of(3)[0] == found.of(4)[0] and len(set(found.hashes.tolist())) == len(found.hashes) - 1
 
 
+def test_far_bytes_of_a_long_word_count():
+    import pyarrow as pa
+
+    long = ["a"] * 140_000
+    long[5], long[5 + (1 << 16)] = "b", "c"
+    other = long.copy()
+    other[5], other[5 + (1 << 16)] = "c", "b"
+    found = words.Words(pa.array(["".join(long), "".join(other)]))
+    assert len(set(found.hashes.tolist())) == 2
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, epochs=2.0):
     """By water filling: cap, reshare the excess by weight, until none is above."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
