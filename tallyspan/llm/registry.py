@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fm_index, merkle, mixing, passages, repeats, rule_ledger, severity, style_tree, surrogates, token_shards, url_rules, weighted_minhash
+from . import fm_index, merkle, mixing, passages, prefix_trie, repeats, rule_ledger, severity, style_tree, surrogates, token_shards, url_rules, weighted_minhash
 
-MODULES = (surrogates, token_shards, passages, url_rules, severity, style_tree, fm_index, mixing, rule_ledger, weighted_minhash, merkle, repeats)
+MODULES = (surrogates, token_shards, passages, url_rules, severity, style_tree, fm_index, mixing, rule_ledger, weighted_minhash, prefix_trie, merkle, repeats)
 
 
 def queries() -> dict:
