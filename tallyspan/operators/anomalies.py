@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
-from .folds import fold, islands
+from ..shared import keep
+from .folds import fold_islands
 
 
 @dataclass(frozen=True)
@@ -90,8 +91,9 @@ def mirrored_entries(txns: DataFrame, window: int = 3) -> DataFrame:
     of the same size within `window` days, in one pass over each size's rows by date."""
     rows = txns.select("source", "id", "ord", "date", F.abs("amount").alias("size"), (F.col("amount") > 0).alias("inflow")).where("size <> 0")
     both = rows.groupBy("source", "size").agg(F.min("inflow").alias("a"), F.max("inflow").alias("b")).where("a <> b").select("source", "size")
-    rows = islands(rows.join(both, ["source", "size"]), ["source", "size"], window)
-    return fold(rows, ["source", "size", "island"], ["date", "ord", "id"], "source string, positive_id string, negative_id string, size decimal(18,2)", lambda group: mirror(group, window))
+    rows = keep(rows.join(both, ["source", "size"]), "sizes")
+    result = "source string, positive_id string, negative_id string, size decimal(18,2)"
+    return fold_islands(rows, "source string, size decimal(18,2)", window, ["date", "ord", "id"], result, lambda group: mirror(group, window), "inflow", "negative_id")
 
 
 def mirror(rows: Iterator[dict], window: int) -> Iterable[tuple]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..shared import keep
-from .folds import fold, islands
+from .folds import fold, fold_islands
 
 RULES = ("exact_amount_same_date", "exact_amount_near_date", "exact_amount_same_date_fuzzy_desc", "exact_amount_near_date_fuzzy_desc", "near_amount_matching_description")
 PAIRS = "bank_id string, ledger_id string, rule string, similarity double, corroboration string"
@@ -88,8 +88,8 @@ def match_exact(bank: DataFrame, ledger: DataFrame, days: int = 3, fuzzy: float
     said = text.normalized(F.coalesce("description", F.lit("")))
     reference = F.nullif(text.normalized(F.coalesce("reference", F.lit(""))), F.lit(""))
     row = lambda side, mine: side.join(several, "amount").select("amount", "date", F.lit(mine).alias("is_bank"), "ord", "id", F.array_sort("tokens").alias("tokens"), "forms", said.alias("said"), reference.alias("reference"))
-    rows = islands(settle(row(bank, True).unionByName(row(ledger, False))), ["amount"], days)
-    return single.unionByName(fold(rows, ["amount", "island"], ["date", "ord", "id"], PAIRS, lambda group: choose(group, days, fuzzy)))
+    rows = settle(row(bank, True).unionByName(row(ledger, False)))
+    return single.unionByName(fold_islands(rows, "amount decimal(18,2)", days, ["date", "ord", "id"], PAIRS, lambda group: choose(group, days, fuzzy), "is_bank", "ledger_id"))
 
 
 class Words:
