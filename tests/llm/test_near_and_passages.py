@@ -203,6 +203,31 @@ def test_exact_runs_are_all_found(spark):
     assert shared and all((i, at + k) in covered for i, at in shared for k in range(passages.LEAST))
 
 
+def test_passages_whose_parts_stand_alone_elsewhere(spark):
+    """Triples: a passage of 60 words in two texts, its halves apart in all three, and first in an older one."""
+    unlike = lambda rng, n: [f"{rng.randrange(10**9):x}" for _ in range(n)]
+    rng, rows = random.Random(21), []
+    for t in range(40):
+        first, second = unlike(rng, 30), unlike(rng, 30)
+        apart = lambda a, b: unlike(rng, 20) + a + unlike(rng, 20) + b + unlike(rng, 20)
+        rows += [(1000 + t, apart(first, second)), (2000 + t, apart(second, first) + first + second), (3000 + t, apart(second, first) + first + second)]
+    found = passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    pairs = {(r.doc_id, r.anchor_id) for r in found if r.end - r.start >= 60}
+    assert all((3000 + t, 2000 + t) in pairs for t in range(40))
+
+
+def test_long_runs_name_their_words():
+    import numpy as np
+
+    words = np.random.default_rng(1).integers(0, 1 << 62, 300).astype(np.uint64)
+    words[200:260] = words[20:80]
+    for n in (1, 2, 7, 40):
+        names = passages.long_runs(words, n)
+        assert len(names) == 300 - n + 1 and len(set(names.tolist())) == len({tuple(words[i : i + n].tolist()) for i in range(300 - n + 1)})
+        assert (names[200 : 260 - n + 1] == names[20 : 80 - n + 1]).all()
+    assert len(passages.long_runs(words[:39], 40)) == 0 == len(passages.long_runs(words[:0], 40))
+
+
 def test_edit_distance():
     import numpy as np
 
