@@ -12,7 +12,8 @@ Parquet files, written by Spark and thus to any store:
 
 Encoding cuts a text where the tokenizer's own pattern always ends a match, whatever follows
 (see `cuts`): the pieces' ids joined are the whole text's ids. A distinct piece is encoded once
-per worker while the worker's memory of pieces, which is bounded by PIECES, holds it.
+per worker while the worker's memory of pieces, which is bounded by PIECES and POOL_BYTES, holds
+it. Pieces of more than LONG_PIECE bytes, as texts in scripts without blanks are, pass it by.
 
 Defined results: a null or empty text has the END id alone; null ids sort first; rows that
 repeat an id are separate documents in the order of their texts' hashes; very long texts are
@@ -38,8 +39,12 @@ END = 0
 #: Bytes of text to a shard, and the most range partitions: beyond, a partition has more shards.
 SHARD_BYTES = 16 << 20
 PARTITIONS = 20_000
-#: Pieces whose ids a Python worker keeps at most before it starts anew, at 30 to 40 bytes each.
+#: Pieces, and bytes of their ids, from which on a Python worker starts anew, and bytes of the longest
+#: piece that it keeps. A piece costs 28 bytes and its ids, so the memory is bounded by the sum of
+#: both and what one slice adds.
 PIECES = 1 << 20
+POOL_BYTES = 32 << 20
+LONG_PIECE = 128
 #: Bytes that are cut into pieces at once.
 SLICE_BYTES = 4 << 20
 
@@ -119,7 +124,7 @@ class Encoder:
     def forget(self) -> None:
         """Keeps one piece, number 0: the END id."""
         self.high, self.low, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32)
-        self.pool, self.end = np.array([END], self.dtype), np.array([0, 1], np.int32)
+        self.pool, self.end = np.array([END], self.dtype), np.array([0, 1], np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -146,7 +151,7 @@ class Encoder:
         number = np.empty(len(fresh), np.int32)
         number[order] = len(self.end) - 1 + np.arange(len(fresh), dtype=np.int32)
         self.pool = np.concatenate([self.pool, ids])
-        self.end = np.concatenate([self.end, (self.end[-1] + np.cumsum(sizes)).astype(np.int32)])
+        self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(sizes)])
         return number
 
     def numbers(self, pieces: pa.LargeBinaryArray) -> np.ndarray:
@@ -169,14 +174,22 @@ class Encoder:
         data, offsets = text_bytes(texts)
         begin = cuts(data, offsets)
         coded = pieces_of(data, begin).dictionary_encode()
-        if len(self.end) > PIECES:
+        if len(self.end) > PIECES or self.pool.nbytes > POOL_BYTES:
             self.forget()
-        number = self.numbers(coded.dictionary)[coded.indices.to_numpy()] if len(coded.dictionary) else np.empty(0, np.int32)
+        long = pc.greater(pc.binary_length(coded.dictionary), LONG_PIECE).to_numpy(zero_copy_only=False)
+        known = np.empty(len(long), np.int32)
+        known[~long] = self.numbers(coded.dictionary.filter(pa.array(~long))) if not long.all() else 0
+        kept = len(self.pool), len(self.end)
+        if long.any():  # after the others, so that they can be cut off again
+            known[long] = self.learn(coded.dictionary.filter(pa.array(long)))
+        number = known[coded.indices.to_numpy()]
         after = np.searchsorted(begin, offsets[1:])
         number = np.insert(number, after, 0)
         size = np.diff(self.end)[number]
         ends = np.append(0, np.cumsum(size, dtype=np.int64))
         ids = self.pool[np.repeat(self.end[number] - ends[:-1], size) + np.arange(ends[-1])]
+        if long.any():
+            self.pool, self.end = self.pool[: kept[0]].copy(), self.end[: kept[1]].copy()
         return ids, np.diff(np.append(0, ends[after + np.arange(1, len(texts) + 1)]))
 
 

@@ -47,6 +47,25 @@ def test_pieces_encode_as_whole_texts():
     assert len(own.end) == 2 < held and own.batch(pa.array(["a b a"]))[1].tolist() == [4]
 
 
+def test_memory_of_pieces_is_bounded_by_bytes(monkeypatch):
+    """Texts without a place to cut pass the memory by; others make it start anew."""
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_shards, "POOL_BYTES", 1 << 16)
+    own, rng, most = token_shards.Encoder(token_shards.tokenizer_path()), random.Random(2), 0
+    signs = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 600))
+    for n in range(10):
+        texts = ["".join(rng.choices(signs, k=1000)) for _ in range(500)] + [f"word{rng.randrange(10**6)} x" for _ in range(3000)]
+        ids, sizes = own.batch(pa.array(texts))
+        most = max(most, own.pool.nbytes)
+        if n in (0, 9):
+            want = [[*e.ids, token_shards.END] for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    assert most < 2 << 16 and own.end.dtype == np.int64
+
+
 def test_equal_and_null_ids_are_dealt_to_several_parts(spark, tmp_path):
     docs = spark.createDataFrame([(None if i % 2 else 5, f"text {i} " * 50) for i in range(400)], "doc_id long, text string").withColumn("start", F.lit("clash"))
     token_shards.write_shards(docs, f"file://{tmp_path}/s", token_shards.tokenizer_path(), 8)
