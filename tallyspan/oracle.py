@@ -177,4 +177,15 @@ SQL |= {
     "headline": f"{_FLAGS} SELECT (SELECT count(*) FROM (WITH {PAIRS} SELECT 1 FROM pairs))::BIGINT AS matched, (SELECT count_if(source = 'bank') FROM ({_MISSING}))::BIGINT AS unmatched_bank, (SELECT count_if(source = 'ledger') FROM ({_MISSING}))::BIGINT AS unmatched_ledger, (SELECT count(*) FROM flags)::BIGINT AS anomalies, (SELECT amount FROM ({SQL['summary']}) WHERE item = 'Difference to explain')::DECIMAL(28,2) AS difference, (SELECT amount FROM ({SQL['summary']}) WHERE item = 'UNEXPLAINED')::DECIMAL(28,2) AS unexplained",
     "model_rows": f"WITH {BASE} SELECT customer, d AS date, 'pay [1] to ' || p AS description, 'N' || k AS reference, a AS amount FROM payments",
     "model_answers": PAIR_K.replace("~", "abs(b.amount - l.amount)::DECIMAL(18,2) AS gap, abs(date_diff('day', b.date, l.date))::BIGINT AS days, (b.ord // 4) % 3 = 0 AS is_match, ((b.ord // 4) % 11) / 10.0::DOUBLE AS confidence, 'rows {of} ' || (b.ord // 4) AS reasoning"),
+    "semantic_match": f"""WITH {EXACT},
+    units AS (SELECT vec_id::BIGINT AS v, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings),
+    n AS (SELECT count(*) AS n FROM embeddings),
+    vb AS MATERIALIZED (SELECT lb.*, u FROM lb, n JOIN units ON v = ord % n),
+    vl AS MATERIALIZED (SELECT ll.*, u FROM ll, n JOIN units ON v = ord % n),
+    met AS (SELECT b.id AS bank_id, l.id AS ledger_id, b.ord AS bank_ord, b.amount AS bank_amount, l.amount AS ledger_amount, round(list_inner_product(b.u, l.u), 9) AS score, l.ord AS ledger_ord FROM vb b, vl l),
+    short AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY score DESC, ledger_ord, ledger_id) AS place FROM met) WHERE place <= 3 AND score >= 0.5),
+    q0 AS MATERIALIZED (SELECT * FROM (SELECT bank_id, ledger_id, bank_ord, place, score, round(1 / (1 + abs(bank_amount::DOUBLE - ledger_amount::DOUBLE) / 100), 6) AS confidence FROM short
+      WHERE (bank_amount > 0) = (ledger_amount > 0) AND abs(bank_amount - ledger_amount) <= greatest(500, greatest(abs(bank_amount), abs(ledger_amount)) * 0.02)) WHERE confidence >= 0.5)"""
+    + "".join(assign_round(i, "confidence DESC, bank_ord, place, ledger_id", "q") for i in range(6))
+    + " SELECT bank_id, ledger_id, round(score, 6) AS similarity, confidence FROM (" + " UNION ALL ".join(f"SELECT * FROM kq{i}" for i in range(6)) + ")",
 }

@@ -309,22 +309,23 @@ def retention_purge(spark, sf_dir):
 def cosine_topk(spark, sf_dir):
     """For every vector whose id is divisible by 100, the three nearest of all others."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").cast("long").alias("ord"), F.col("embedding").alias("vector"))
-    found = semantic.shortlist(rows.where("ord % 100 = 0"), rows, least=-1.0, blocks=8, same=False)
+    found = semantic.shortlist(rows.where("ord % 100 = 0"), rows, least=-1.0, same=False)
     return found.select(F.col("bank_id").cast("long").alias("query"), F.col("ledger_id").cast("long").alias("found"), F.round("score", 4).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 def _confirm(batch):
-    """A stand-in scorer: how near the amounts and dates are."""
+    """A stand-in scorer: how near the amounts are."""
     gap = (batch.bank_amount.astype(float) - batch.ledger_amount.astype(float)).abs()
     return (1 / (1 + gap / 100)).round(6).tolist()
 
 
 def semantic_match(spark, sf_dir):
-    """Bank leftovers whose ord is divisible by 100, as stated queries, against all leftovers of
-    the ledger, with a vector of letters' counts."""
-    bank, ledger = _after_exact(spark, sf_dir)
-    letters = lambda rows: rows.withColumn("vector", F.transform(F.array(*map(F.lit, "abcdef0123456789")), lambda c: F.regexp_count(F.lower("description"), c).cast("double")))
-    found = semantic.match_semantic(letters(bank.where("ord % 100 = 0")), letters(ledger), _confirm, blocks=8)
+    """All leftovers of the exact stage, the vector of a row being that of the table's which its ord
+    names."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
+    n = vectors.count()
+    bank, ledger = (side.withColumn("v", F.col("ord") % n).join(vectors, "v").drop("v") for side in _after_exact(spark, sf_dir))
+    found = semantic.match_semantic(bank, ledger, _confirm)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
