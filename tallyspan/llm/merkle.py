@@ -78,18 +78,23 @@ def inner_levels(blocks: DataFrame, upto: int) -> DataFrame:
 @dataclass
 class Forest:
     """Trees whose stored levels are rows (tree, block, n, nodes): n nodes has the tree on that
-    level, nodes are the digests of one aligned subtree. tops: tree, top (its last node)."""
+    level, nodes are the digests of one aligned subtree, and rows, on the lowest level, what the
+    leaves carry. tops: tree, top (its last node)."""
 
     levels: list[DataFrame]
     tops: DataFrame
 
 
 def grown(leaves: DataFrame, most: int, label: str) -> Forest:
-    """The trees over leaves (tree, number, n, node), n the tree's leaves and most their maximum."""
+    """The trees over leaves (tree, number, n, node, and row, a struct, if they carry anything), n the
+    tree's leaves and most their maximum."""
     width, levels, level = FANOUT**STEP, [], leaves
     while True:
+        carried = [c for c in ("node", "row") if c in level.columns]
         blocks = level.groupBy("tree", F.floor(F.col("number") / width).alias("block"))
-        blocks = blocks.agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("number", "node"))), lambda x: x["node"]).alias("nodes"))
+        blocks = blocks.agg(F.max("n").alias("n"), F.collect_list(F.struct("number", *carried)).alias("all"))
+        blocks = blocks.withColumn("all", F.array_sort("all", lambda x, y: F.when(x["number"] < y["number"], -1).otherwise(1)))
+        blocks = blocks.select("tree", "block", "n", *[F.col("all")[c].alias(f"{c}s") for c in carried])
         levels.append(keep(blocks, f"{label}-{len(levels)}"))
         tops = inner_levels(levels[-1], STEP + 1)
         node = F.element_at(f"nodes_{STEP}", 1)
@@ -102,7 +107,7 @@ def grown(leaves: DataFrame, most: int, label: str) -> Forest:
 
 
 def proofs(forest: Forest, above: DataFrame | None = None) -> DataFrame:
-    """tree, number, node and proof (siblings of each level up, from the leaf's) of all leaves;
+    """tree, number, node, proof (siblings of each level up, from the leaf's) and row of all leaves;
     above (tree, proof) is what follows a tree's own."""
     width = FANOUT**STEP
     found = forest.tops.select("tree", F.lit(0).cast("long").alias("number"))
@@ -111,27 +116,27 @@ def proofs(forest: Forest, above: DataFrame | None = None) -> DataFrame:
     for blocks in reversed(forest.levels):
         inner = inner_levels(blocks, STEP).join(found.select("tree", F.col("number").alias("block"), "proof"), ["tree", "block"])
         inner = inner.select("*", F.posexplode("nodes_0").alias("at", "node"))
+        carried = [F.get("rows", F.col("at")).alias("row")] if "rows" in inner.columns else []
         own = [F.when(F.col("n") > FANOUT**k, F.array(siblings(F.col(f"nodes_{k}"), F.floor(F.col("at") / FANOUT**k).cast("int")))).otherwise(empty) for k in range(STEP)]
-        found = inner.select("tree", (F.col("block") * width + F.col("at")).alias("number"), "node", F.concat(*own, "proof").alias("proof"))
+        found = inner.select("tree", (F.col("block") * width + F.col("at")).alias("number"), "node", F.concat(*own, "proof").alias("proof"), *carried)
     return found
 
 
 @dataclass
 class Manifest:
-    """leaves: the fields asked for, tree and number of each row; subroots: tree, source and
-    subroot; root: one row, or none for an empty table."""
+    """sources: a tree each, whose leaves carry source, doc_id, leaf and what was asked for; roots: the
+    tree over them; subroots: tree, source and subroot; root: one row, or none for an empty table."""
 
-    leaves: DataFrame
     sources: Forest
     roots: Forest
     subroots: DataFrame
     root: DataFrame
 
     def proofs(self) -> DataFrame:
-        """leaves with subroot, root and proof."""
+        """What each leaf carries, with tree, number, subroot, root and proof."""
         above = proofs(self.roots).select(F.col("number").alias("tree"), "proof")
         found = proofs(self.sources, above).join(self.subroots.drop("source"), "tree").crossJoin(F.broadcast(self.root))  # one row
-        return self.leaves.join(found, ["tree", "number"])
+        return found.select("row.*", "tree", "number", "proof", "subroot", "root")
 
 
 def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, also: dict[str, Column] | None = None) -> Manifest:
@@ -144,10 +149,11 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, also: dict[str,
     counts = keep(counts.select(F.col("source").alias("_source"), F.col("number").alias("tree"), "n"), "trees")
     bound = counts.agg(F.max("n").alias("n"), F.count("*").alias("sources")).first()
     leaves = leaves.drop("_part").join(counts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    sources = grown(leaves.select("tree", "number", "n", F.col("leaf").alias("node")), bound["n"] or 0, "tree")
+    carried = F.struct("source", "doc_id", "leaf", *(also or {}))
+    sources = grown(leaves.select("tree", "number", "n", F.col("leaf").alias("node"), carried.alias("row")), bound["n"] or 0, "tree")
     named = counts.select("tree", F.col("_source").alias("source")).join(sources.tops, "tree").withColumnRenamed("top", "subroot")
     roots = grown(named.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("number"), F.lit(bound["sources"]).cast("long").alias("n"), F.col("subroot").alias("node")), bound["sources"], "root")
-    return Manifest(leaves, sources, roots, named, roots.tops.select(F.col("top").alias("root")))
+    return Manifest(sources, roots, named, roots.tops.select(F.col("top").alias("root")))
 
 
 def lowered(text: Column) -> Column:
