@@ -45,3 +45,17 @@ def same_direction(a: Column, b: Column) -> Column:
 
 def days_between(a: Column, b: Column) -> Column:
     return F.abs(F.datediff(a, b))
+
+
+def step(amount: Column) -> Column:
+    """Amounts in steps: 500 wide up to 25 000, above it ever wider by the fee's share. Two
+    plausibly equal amounts of one sign are at most one step apart, or two at the seam."""
+    size = F.abs(amount).cast("double")
+    flat = F.floor(size / MAX_FEE)
+    above = 50 + F.floor(F.log(size / 25_000) / F.log(F.lit(1 / 0.98)))
+    return F.when(size < 25_000, flat).otherwise(above).cast("long")
+
+
+def steps_around(amount: Column) -> Column:
+    """All steps that a plausibly equal amount can be in."""
+    return F.array(*[step(amount) + i for i in (-2, -1, 0, 1, 2)])

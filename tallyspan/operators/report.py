@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..shared import keep
+from .nearest import nearest_plausible
 
 # Fragments of narrations of bank postings, in the order they are tried.
 BANK_ORIGINATED = (
@@ -46,8 +46,7 @@ def review(rows: DataFrame) -> dict[str, DataFrame]:
 def classify(left: DataFrame, others: DataFrame, source: str, days: int = 3) -> DataFrame:
     """left (id, date, amount, description) with `reason`: why a row found no partner, judged
     against all rows of the other side, those already matched too. Same amounts are counted
-    before the join; the nearest row of plausible amount is found over steps of amount that
-    are as wide as the greatest plausible gap there."""
+    before the join; the nearest row of plausible amount comes from nearest_plausible."""
     said = F.lower(F.coalesce("description", F.lit("")))
     where = "not yet booked in the ledger" if source == "bank" else "not on the statement"
     by_bank = F.coalesce(*[F.when(said.contains(f), F.lit(f"{label} — {where}")) for f, label in BANK_ORIGINATED])
@@ -55,8 +54,7 @@ def classify(left: DataFrame, others: DataFrame, source: str, days: int = 3) ->
     same = others.groupBy(F.col("amount").alias("same_amount")).agg(F.count("*").alias("n"), F.min("date").alias("only_date"))
     rows = rows.join(same, F.col("amount") == F.col("same_amount"), "left")
     settled = F.col("by_bank").isNotNull() | F.col("n").isNotNull()
-    near = _nearest(rows.where(~settled), others)
-    rows = rows.join(near, "id", "left")
+    rows = rows.join(nearest_plausible(rows.where(~settled), others), ["amount", "date"], "left")
     gap = money.days_between(F.col("date"), F.col("only_date")).cast("string")
     default = F.lit("no counterpart on the ledger side") if source == "bank" else F.when(F.col("amount") > 0, "no counterpart — receipt not yet on the statement").otherwise("no counterpart — payment not yet presented")
     reason = (
@@ -69,48 +67,6 @@ def classify(left: DataFrame, others: DataFrame, source: str, days: int = 3) ->
     return rows.select("id", reason.alias("reason"))
 
 
-def _step(amount: Column) -> Column:
-    """Amounts in steps: 500 wide up to 25 000, above it ever wider by the fee's share. Two
-    plausibly equal amounts of one sign are at most one step apart, or two at the seam."""
-    size = F.abs(amount).cast("double")
-    flat = F.floor(size / money.MAX_FEE)
-    above = 50 + F.floor(F.log(size / 25_000) / F.log(F.lit(1 / 0.98)))
-    return F.when(size < 25_000, flat).otherwise(above).cast("long")
-
-
-#: Days within which the nearest row is looked for, step by step; rows that found none go on,
-#: and the last step has no limit.
-REACHES = (0, 7, 60, 500, None)
-
-
-def _nearest(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """id and near: of the other rows within a fee, the nearest in date, then first in input.
-    Rows meet by steps of amount and spans of days, first of one day, then of ever more for the
-    rows that found nothing, so that a row meets few others wherever it finds one nearby. Of
-    equal amounts on one day only the first row matters."""
-    sign = lambda a: F.when(a > 0, 1).when(a < 0, -1).otherwise(0)
-    first = others.groupBy("amount", "date").agg(F.min_by(F.struct("ord", "description"), "ord").alias("row"))
-    # small amounts of both signs can be within the flat fee of each other, so both sides' low steps meet
-    low = F.abs("amount") <= money.MAX_FEE
-    steps = F.array(*[_step(F.col("amount")) + i for i in (-2, -1, 0, 1, 2)])
-    keyed = keep(first.select(F.col("amount").alias("o_amount"), F.col("date").alias("o_date"), "row", _step(F.col("amount")).alias("step"), F.explode(F.when(low, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(sign(F.col("amount"))))).alias("sign")), "nearest-others")
-    left = keep(rows.select("id", "date", "amount", sign(F.col("amount")).alias("sign"), F.explode(steps).alias("step")), "nearest-rows")
-    gap = money.days_between(F.col("date"), F.col("o_date"))
-    done = None
-    for days in REACHES:
-        span = lambda d, w=days: F.floor(F.unix_date(d) / w) if w else F.unix_date(d).cast("long") if w == 0 else F.lit(0).cast("long")
-        around = F.explode(F.array(*[span(F.col("date")) + i for i in (-1, 0, 1)])) if days else span(F.col("date"))
-        met = left.withColumn("span", around).join(keyed.withColumn("span", span(F.col("o_date"))), ["sign", "step", "span"])
-        fits = money.fee_gap_plausible(F.col("amount"), F.col("o_amount"))
-        met = met.where(fits if days is None else fits & (gap <= days))
-        rank = F.struct(gap.alias("gap"), F.col("row.ord").alias("ord"))
-        found = keep(met.groupBy("id").agg(F.min_by(F.struct(F.col("o_amount").alias("amount"), F.col("o_date").alias("date"), F.col("row.description").alias("description")), rank).alias("near")), "nearest")
-        done = found if done is None else done.unionByName(found)
-        if days is not None:
-            left = keep(left.join(found.select("id"), "id", "left_anti"), "nearest-rows")
-    return done
-
-
 SUMMARY_ITEMS = (
     ("Bank transactions", "bank_n", "bank_total"), ("Ledger transactions", "ledger_n", "ledger_total"), ("Difference to explain", None, "difference"),
     ("Matched", "matched_n", None), ("  amounts disagree", "amounts_n", None), ("  booked on different dates", "dates_n", None), ("  matched on figures alone", "weak_n", None),
