@@ -16,6 +16,7 @@ from __future__ import annotations
 import datetime
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -244,36 +245,53 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("bank_id", F.col("next").alias("label"))
 
 
-def blocks(side: DataFrame, spread: bool, days: int) -> DataFrame:
-    """id and block keys so that every pair which near matching can accept shares one: an
-    equal reference, the first four letters of a corresponding word, or, for a row without
-    distinctive words, its week (all weeks within reach on the side that is spread)."""
-    reference = F.when(F.coalesce("reference", F.lit("")) != "", F.array(F.concat(F.lit("r:"), text.normalized(F.col("reference")))))
-    words = F.array_distinct(F.transform("tokens", lambda t: F.concat(F.lit("t:"), F.substring(t, 1, 4))))
-    week = F.floor(F.unix_date("date") / days).cast("long")
-    weeks = F.array(week - 1, week, week + 1) if spread else F.array(week)
-    dated = F.transform(weeks, lambda w: F.concat(F.lit("d:"), w.cast("string")))
-    none = F.array().cast("array<string>")
-    keys = F.concat(F.coalesce(reference, none), words, dated)
-    return side.withColumn("block", F.explode(F.array_distinct(keys)))
+def head(token: Column) -> Column:
+    """Two words that correspond have a head in common."""
+    return F.substring(token, 1, text.MIN_PREFIX)
+
+
+def with_prefixes(sides: list[DataFrame], least: float) -> list[DataFrame]:
+    """The prepared sides with `every`, the heads of all words, and `rare`, those of its rarest words, so
+    few that a row which is alike by `least` and has its share of the corresponding words has one of
+    these. If the hits of both rows are `least` of all words of both, those of one row are
+    `least` of its own; and of n words k of which correspond, any n - k + 1 hold one of these."""
+    words = [rows.select("id", F.explode("tokens").alias("token")).withColumn("head", head(F.col("token"))) for rows in sides]
+    frequent = words[0].select("head").union(words[1].select("head")).groupBy("head").agg(F.count("*").alias("n"))
+    out = []
+    for rows, own in zip(sides, words, strict=True):
+        ranked = own.join(frequent, "head").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token", "head"))).alias("words"))
+        few = F.size("words") - F.greatest(F.lit(1), F.ceil(F.size("words") * F.lit(least) - F.lit(1e-9))).cast("int") + 1
+        heads = lambda words: F.array_distinct(F.transform(words, lambda w: w["head"]))
+        out.append(rows.join(ranked.select("id", heads(F.col("words")).alias("every"), heads(F.slice("words", F.lit(1), few)).alias("rare")), "id", "left"))
+    return out
 
 
 def near_candidates(bank: DataFrame, ledger: DataFrame, days: int = 7, least: float = 0.35) -> DataFrame:
-    """Pairs of one direction, near dates, a fee's difference and similarity of `least`. The
-    word blocks of a pair carry its week too, so that a frequent word is many small blocks."""
+    """Pairs of one direction, near dates, a fee's difference and similarity of `least`: a
+    prefix-filtered join. Rows meet in their weeks under a reference, or one's rare word under any
+    word of the other; a row without distinctive words, whose letters decide, meets the rows of
+    its weeks that are in a neighbouring step of amount, so no block is a whole week."""
     b, r = (lambda c: F.col(f"bank_{c}")), (lambda c: F.col(f"ledger_{c}"))
-    week = lambda d: F.floor(F.unix_date(d) / days).cast("long")
-    rows_b, rows_r = settle(prepared(identifiable(bank))), settle(prepared(identifiable(ledger)))
-    worded = lambda rows: blocks(rows, False, days).where(~F.col("block").startswith("d:"))
-    left = sided(worded(rows_b).withColumn("week", week(F.col("date"))), "bank")
-    right = sided(worded(rows_r).withColumn("week", F.explode(F.array(*[week(F.col("date")) + i for i in (-1, 0, 1)]))), "ledger")
+    week = F.floor(F.unix_date("date") / days).cast("long")
+    weeks = F.explode(F.array(*[week + i for i in (-1, 0, 1)]))
+    rows_b, rows_r = map(settle, with_prefixes([settle(prepared(identifiable(bank))), settle(prepared(identifiable(ledger)))], least))
     fits = money.same_direction(b("amount"), r("amount")) & (money.days_between(b("date"), r("date")) <= days) & money.fee_gap_plausible(b("amount"), r("amount"))
-    by_word = left.join(right, (b("block") == r("block")) & (b("week") == r("week")) & fits).drop("bank_block", "ledger_block", "bank_week", "ledger_week")
-    # rows without words meet all rows of their weeks, from either side
-    bare = lambda rows: rows.where(F.size("tokens") == 0)
-    dated = lambda rows, spread: blocks(rows, spread, days).where(F.col("block").startswith("d:"))
-    meet = lambda x, y: sided(dated(x, False), "bank").join(sided(dated(y, True), "ledger"), (b("block") == r("block")) & fits).drop("bank_block", "ledger_block")
-    pairs = by_word.unionByName(meet(bare(rows_b), rows_r)).unionByName(meet(rows_b, bare(rows_r))).dropDuplicates(["bank_id", "ledger_id"])
+    none, names = F.array().cast("array<string>"), ["id", "ord", "date", "amount", "description", "reference", "tokens", "forms"]
+    reference = F.when(F.coalesce("reference", F.lit("")) != "", F.array(F.concat(F.lit("r:"), text.normalized(F.col("reference")))))
+    keys = lambda heads, *more: F.concat(F.transform(F.coalesce(heads, none), lambda h: F.concat(F.lit("t:"), h)), *[F.coalesce(m, none) for m in more])
+    step, steps = F.array(F.concat(F.lit("a:"), money.step(F.col("amount")).cast("string"))), F.transform(money.steps_around(F.col("amount")), lambda s: F.concat(F.lit("a:"), s.cast("string")))
+    bare = F.size("tokens") == 0
+
+    def meet(left: Column, right: Column, of: Column | None = None, to: Column | None = None) -> DataFrame:
+        """Pairs that share a block and are in the same or neighbouring weeks."""
+        some = lambda rows, which: rows if which is None else rows.where(which)
+        x = sided(some(rows_b, of).withColumn("block", F.explode(left)).withColumn("week", week).select(*names, "block", "week"), "bank")
+        y = sided(some(rows_r, to).withColumn("block", F.explode(right)).withColumn("week", weeks).select(*names, "block", "week"), "ledger")
+        return x.join(y, (b("block") == r("block")) & (b("week") == r("week")) & fits).drop("bank_block", "ledger_block", "bank_week", "ledger_week")
+
+    rare, every = F.col("rare"), F.col("every")
+    ways = [(keys(rare, reference), keys(every, reference)), (keys(every), keys(rare)), (step, steps, bare), (step, steps, ~bare, bare)]
+    pairs = reduce(DataFrame.unionByName, [meet(*way) for way in ways]).dropDuplicates(["bank_id", "ledger_id"])
     return scored(pairs).where(F.col("similarity") >= least)
 
 
