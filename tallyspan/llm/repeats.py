@@ -47,8 +47,11 @@ from .words import mix, slices, text_bytes
 SPAN = 50
 GRAM = 20
 RUN = 64
-#: Text of a slice, whose strings are packed together, and starts that are hashed at once.
-SLICE_BYTES = 16 << 20
+#: Text of a slice, whose strings are packed together, text to a bucket of minimizers and to a
+#: partition, and starts that are hashed at once.
+SLICE_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
+PART_BYTES = 16 << 20
 BLOCK = 1 << 17
 #: From so many different strings of one minimizer in a slice on, they go to step 2 at once.
 LOCAL = 8
@@ -259,7 +262,7 @@ def judged(blobs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from judge(held)
 
-    dealt = blobs.repartition(min(PARTITIONS, buckets), "bucket").sortWithinPartitions("bucket")
+    dealt = blobs.repartition(max(1, min(PARTITIONS, buckets * BUCKET_BYTES // PART_BYTES)), "bucket").sortWithinPartitions("bucket")
     return dealt.select("bucket", "kind", "blob").mapInArrow(each, JUDGED)
 
 
@@ -418,7 +421,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, hash, kind (SPANS or ALIASES), start, size and of: what goes from each document.
     docs has doc_id, hash (of the text) and text."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(1, -(-total // SLICE_BYTES))
+    buckets = max(1, -(-total // BUCKET_BYTES))
     first = keep(judged(packed_strings(docs, buckets), buckets), "judged")
     asked = first.where(F.col("kind") == REQUESTS).select("doc_id", "hash", "key", "start", "size")
     # rows that repeat an id and a text cut the same strings
@@ -429,7 +432,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     parts = cut.join(F.broadcast(crowds) if found <= BROADCAST_KEYS else crowds, "key", "left")
     chunk = F.coalesce(F.pmod(F.xxhash64("doc_id", "hash", "start"), F.col("parts")), F.lit(0)).cast("int")
     shards = parts.select(F.col("key").alias("shard"), chunk.alias("chunk"), "doc_id", "hash", "start", "string", F.col("parts").isNotNull().alias("crowded"))
-    partitions = max(1, min(PARTITIONS, -(-total // (2 * SLICE_BYTES))))
+    partitions = max(1, min(PARTITIONS, -(-total // (2 * PART_BYTES))))
     second = keep(factors(shards, partitions, whole=True), "factors")
     spans = second.where("size > 0")
     if found:

@@ -189,3 +189,27 @@ SQL |= {
     + "".join(assign_round(i, "confidence DESC, bank_ord, place, ledger_id", "q") for i in range(6))
     + " SELECT bank_id, ledger_id, round(score, 6) AS similarity, confidence FROM (" + " UNION ALL ".join(f"SELECT * FROM kq{i}" for i in range(6)) + ")",
 }
+
+_PLACED = f"""{BASE}, printed AS MATERIALIZED (
+    SELECT doc, (n // 30 + 1)::BIGINT AS page, k AS line, 100.0::DOUBLE + n % 30 * 15 AS top, said, 'N' || k AS reference, CASE WHEN a < 0 THEN figure END AS debit, CASE WHEN a >= 0 THEN figure END AS credit,
+      CASE WHEN k % 7 = 0 THEN figure ELSE ((k * 13 % 100000) / 100.0)::DECIMAL(18,2)::VARCHAR END AS balance, party
+    FROM (SELECT customer::VARCHAR AS doc, row_number() OVER (PARTITION BY customer ORDER BY d, k) - 1 AS n, k, a, strftime(d, '%d/%m/%Y') AS said, abs(a)::VARCHAR AS figure, upper(p) AS party FROM payments)),
+tokens AS MATERIALIZED (SELECT doc, page, line, top, unnest([said, 'NEFT', party, reference, debit, credit, balance]) AS key, unnest([0, 1, 2, 3, 4, 5, 6]) AS i FROM printed),
+words AS MATERIALIZED (SELECT doc, page, line * 8 + i AS word, key, top + CASE WHEN i IN (1, 2) THEN 4 ELSE 0 END AS top,
+    [40.0, 100.0, 135.0, 250.0, 350.0, 450.0, 550.0][i + 1]::DOUBLE AS x0, [95.0, 130.0, 180.0, 300.0, 400.0, 500.0, 600.0][i + 1]::DOUBLE AS x1 FROM tokens WHERE key IS NOT NULL),
+met AS MATERIALIZED (SELECT t.line, w.* FROM (SELECT DISTINCT doc, page, line, key FROM tokens WHERE key IS NOT NULL) t JOIN words w USING (doc, page, key)),
+scored AS (SELECT h.doc, h.page, h.line, h.top AS height, count(DISTINCT m.key) AS score FROM (SELECT DISTINCT doc, page, line, top FROM met) h JOIN met m ON m.doc = h.doc AND m.page = h.page AND m.line = h.line AND abs(m.top - h.top) <= 9 GROUP BY ALL),
+best AS (SELECT doc, page, line, arg_max(height, (score, -height)) AS height, max(score) AS score FROM scored GROUP BY ALL),
+held AS MATERIALIZED (SELECT m.*, b.height, b.score FROM met m JOIN best b ON m.doc = b.doc AND m.page = b.page AND m.line = b.line AND abs(m.top - b.height) <= 9)"""
+_BOX = "round({0}(x0) / 612, 6) AS x0, round({0}(top) / 792, 6) AS y0, round({1}(x1) / 612, 6) AS x1, round(({1}(top) + 8) / 792, 6) AS y1"
+SQL |= {
+    "locate_lines": f"WITH {_PLACED} SELECT doc, page, line, height, score, count(*)::BIGINT AS words, {_BOX.format('min', 'max')} FROM held GROUP BY doc, page, line, height, score",
+    "cell_boxes": f"""WITH {_PLACED}, cells AS (SELECT doc, page, line, unnest(['date', 'reference', 'debit', 'credit', 'balance']) AS field, unnest([said, reference, debit, credit, balance]) AS key, unnest([1, 2, 3, 4, 5]) AS turn FROM printed),
+    claims AS (SELECT *, row_number() OVER (PARTITION BY doc, page, line, key ORDER BY turn) AS claim FROM cells WHERE key IS NOT NULL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY doc, page, line, key ORDER BY x0, word) AS claim FROM held),
+    taken AS MATERIALIZED (SELECT p.*, c.field FROM placed p LEFT JOIN claims c USING (doc, page, line, key, claim)),
+    edges AS (SELECT doc, page, line, max(x1) FILTER (field = 'date') AS after, min(x0) FILTER (field IN ('debit', 'credit', 'balance')) AS before FROM taken GROUP BY ALL)
+    SELECT doc, page, line, field, {_BOX.format('', '')} FROM taken WHERE field IS NOT NULL
+    UNION ALL SELECT doc, page, line, 'description', {_BOX.format('min', 'max')} FROM taken JOIN edges USING (doc, page, line)
+      WHERE field IS NULL AND (after IS NULL OR x0 >= after) AND (before IS NULL OR x1 <= before) GROUP BY doc, page, line""",
+}

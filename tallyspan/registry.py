@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import money, narration, text
-from .operators import anomalies, answers, audits, matching, report, semantic
+from .operators import anomalies, answers, audits, geometry, matching, report, semantic
 from .plans import payload, projection
 from .plans.reconcile import anomaly_rows, reconcile
 
@@ -354,6 +354,34 @@ def _lines(spark, sf_dir):
     return lines.select(F.col("customer").cast("string").alias("file_name"), place.alias("line_no"), F.lit(1).alias("page"), "text")
 
 
+def _page_rows(spark, sf_dir):
+    """A printed row for each payment, thirty to a page, with its narration set lower than its figures."""
+    w = Window.partitionBy("customer").orderBy("d", "k")
+    rows = projection.payments(spark, sf_dir).withColumn("n", F.row_number().over(w) - 1)
+    figure = F.abs("a").cast("string")
+    balance = F.when(F.col("k") % 7 == 0, figure).otherwise(((F.col("k") * 13 % 100_000) / 100).cast("decimal(18,2)").cast("string"))
+    rows = rows.select(
+        F.col("customer").cast("string").alias("doc"), (F.floor(F.col("n") / 30) + 1).cast("long").alias("page"), F.col("k").alias("line"), (100 + F.col("n") % 30 * 15).cast("double").alias("top"),
+        F.date_format("d", "dd/MM/yyyy").alias("date"), F.concat(F.lit("N"), "k").alias("reference"), F.when(F.col("a") < 0, figure).alias("debit"), F.when(F.col("a") >= 0, figure).alias("credit"), balance.alias("balance"), F.upper("p").alias("party"),
+    )
+    parts = ((F.col("date"), 40, 95, 0), (F.lit("NEFT"), 100, 130, 4), (F.col("party"), 135, 180, 4), (F.col("reference"), 250, 300, 0), (F.col("debit"), 350, 400, 0), (F.col("credit"), 450, 500, 0), (F.col("balance"), 550, 600, 0))
+    each = F.array(*[F.struct((F.col("line") * 8 + i).alias("word"), t.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(z)).alias("x1"), (F.col("top") + dy).alias("top")) for i, (t, x, z, dy) in enumerate(parts)])
+    words = rows.select("doc", "page", F.explode(each).alias("w")).select("doc", "page", "w.*").where("text IS NOT NULL")
+    words = words.withColumns({"bottom": F.col("top") + 8, "width": F.lit(612.0), "height": F.lit(792.0)})
+    return rows.withColumn("text", F.concat_ws("   ", *[t for t, *_ in parts])), words
+
+
+def locate_lines(spark, sf_dir):
+    found = geometry.located_lines(*_page_rows(spark, sf_dir))
+    return found.select("doc", "page", "line", "height", "score", "words", *[F.round(c, 6).alias(c) for c in geometry.EDGES])
+
+
+def cell_boxes(spark, sf_dir):
+    rows, words = _page_rows(spark, sf_dir)
+    found = geometry.cell_boxes(rows, geometry.located_words(rows, words))
+    return found.select("doc", "page", "line", "field", *[F.round(c, 6).alias(c) for c in geometry.EDGES])
+
+
 def layout_parse(spark, sf_dir):
     """Statements written as aligned lines, read back by geometry and audited."""
     from .sources import layout
@@ -380,6 +408,6 @@ QUERIES = {
         summary, bank_transactions, ledger_transactions, fee_gap, distinctive_tokens, token_dice, reference_match, citation_label, narration_parse,
         match_exact_candidates, match_exact, corroboration_mix, unmatched_bank, unmatched_ledger, near_candidates, match_near, unexplained, recon_identity, completeness, stage1_exact,
         dup_payments, threshold_avoidance, round_numbers, mirrored_entries, timing_gaps, dup_collapsed, anomaly_report, anomaly_rows_all, run_payload, headline, model_rows, model_answers, match_hot_amounts, match_issues, _review("amount"), _review("date"), _review("weak"), classify_unmatched,
-        balance_audit, footing_check, client_activity, run_history, retention_purge, cosine_topk, semantic_match, ledger_convention, layout_parse, sheet_ingest,
+        balance_audit, footing_check, client_activity, run_history, retention_purge, cosine_topk, semantic_match, ledger_convention, layout_parse, locate_lines, cell_boxes, sheet_ingest,
     )
 }
