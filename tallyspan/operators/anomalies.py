@@ -80,7 +80,7 @@ def round_numbers(txns: DataFrame, unit: int = 1_000, least: int = 10_000, most_
     both sides, a share above `most_share` silences the rule."""
     size = F.abs("amount")
     eligible = txns.where(size >= least).withColumn("is_round", size % unit == 0)
-    share = eligible.agg((F.count_if("is_round") / F.count("*")).alias("share"))
+    share = eligible.agg(F.try_divide(F.count_if("is_round"), F.count("*")).alias("share"))
     rows = eligible.where("is_round").crossJoin(F.broadcast(share)).where(F.col("share") <= float(most_share))
     reason = F.concat(F.lit("Amount "), size.cast("string"), F.lit(f" is an exact multiple of {unit}, which is unusual here ("), percent(F.col("share")), F.lit(" of comparable entries are round)"))
     return rows.withColumn("reason", reason).drop("is_round")
