@@ -190,6 +190,7 @@ SQL |= {
     + " SELECT bank_id, ledger_id, round(score, 6) AS similarity, confidence FROM (" + " UNION ALL ".join(f"SELECT * FROM kq{i}" for i in range(6)) + ")",
 }
 
+SQL["workbook_ingest"] = SQL["sheet_ingest"]
 _PLACED = f"""{BASE}, printed AS MATERIALIZED (
     SELECT doc, (n // 30 + 1)::BIGINT AS page, k AS line, 100.0::DOUBLE + n % 30 * 15 AS top, said, 'N' || k AS reference, CASE WHEN a < 0 THEN figure END AS debit, CASE WHEN a >= 0 THEN figure END AS credit,
       CASE WHEN k % 7 = 0 THEN figure ELSE ((k * 13 % 100000) / 100.0)::DECIMAL(18,2)::VARCHAR END AS balance, party

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anomalies, matching, report
 from ..shared import keep
+from ..sources.workbooks import write_workbook
 
 
 @dataclass
@@ -51,6 +52,11 @@ class Reconciliation:
             out = rows if format == "parquet" else rows.select([F.to_json(c).alias(c) if rows.schema[c].dataType.typeName() in ("array", "struct", "map") else F.col(c) for c in rows.columns])
             out.write.mode("overwrite").option("header", True).format(format).save(f"{path}/{name.replace(' ', '_')}")
 
+    def write_workbook(self, path: str) -> None:
+        """The nine tabs as one workbook, joined from what the tasks wrote."""
+        order = {"Summary": ["line"], "Matched": ["bank_id"], "Transactions": ["source", "ord"], "Anomalies": ["flag_id", "place"]}
+        write_workbook(self.tabs(), path, order)
+
 
 def reconcile(bank: DataFrame, ledger: DataFrame) -> Reconciliation:
     """The run. Both sides and what is left of them are stored once, as every stage and tab

@@ -402,12 +402,30 @@ def sheet_ingest(spark, sf_dir):
     return found.groupBy("date", "amount", "description", "reference").agg(F.count("*").alias("n"))
 
 
+def workbook_ingest(spark, sf_dir):
+    """The ledger written as two workbooks of different headers beside one without money, and read back."""
+    from .shared import shared_path
+    from .sources import sheets, workbooks
+
+    rows, folder = projection.ledger(spark, sf_dir), shared_path(spark, "workbooks")
+    said = lambda rows, *money: rows.select(F.col("ord"), F.date_format("date", "dd-MM-yyyy").alias("Txn Date"), F.col("description").alias("Particulars"), F.col("reference").alias("Voucher No."), *money)
+    one = said(rows.where("ord % 8 = 0"), F.col("amount").alias("Amount"))
+    two = said(rows.where("ord % 8 <> 0"), F.when(F.col("amount") < 0, -F.col("amount")).alias("Withdrawal"), F.when(F.col("amount") >= 0, F.col("amount")).alias("Deposit"))
+    import os
+
+    os.makedirs(folder.removeprefix("file://"), exist_ok=True)
+    for name, frame in (("one", one), ("two", two.withColumnsRenamed({"Txn Date": "Date", "Particulars": "Narration"})), ("none", said(rows.limit(3)))):
+        workbooks.write_workbook({"Ledger": frame}, f"{folder}/{name}.xlsx", {"Ledger": ["ord"]})
+    found = sheets.read_transactions(spark, f"{folder}/*.xlsx", "ledger")
+    return found.groupBy("date", "amount", "description", "reference").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         summary, bank_transactions, ledger_transactions, fee_gap, distinctive_tokens, token_dice, reference_match, citation_label, narration_parse,
         match_exact_candidates, match_exact, corroboration_mix, unmatched_bank, unmatched_ledger, near_candidates, match_near, unexplained, recon_identity, completeness, stage1_exact,
         dup_payments, threshold_avoidance, round_numbers, mirrored_entries, timing_gaps, dup_collapsed, anomaly_report, anomaly_rows_all, run_payload, headline, model_rows, model_answers, match_hot_amounts, match_issues, _review("amount"), _review("date"), _review("weak"), classify_unmatched,
-        balance_audit, footing_check, client_activity, run_history, retention_purge, cosine_topk, semantic_match, ledger_convention, layout_parse, locate_lines, cell_boxes, sheet_ingest,
+        balance_audit, footing_check, client_activity, run_history, retention_purge, cosine_topk, semantic_match, ledger_convention, layout_parse, locate_lines, cell_boxes, sheet_ingest, workbook_ingest,
     )
 }
