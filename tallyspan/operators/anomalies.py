@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..shared import keep
-from .folds import fold_islands
+from .folds import fold_islands, numbered
 
 
 @dataclass(frozen=True)
@@ -32,17 +32,26 @@ def percent(share: Column) -> Column:
     return F.concat(F.bround(share * 100, 0).cast("long").cast("string"), F.lit("%"))
 
 
+def duplicate_rows(txns: DataFrame, window: int = 1) -> DataFrame:
+    """source, amount, what, chain, n, id, date and ord of every row of a duplicate cluster: rows of one
+    source with equal amount and description, each within `window` days of the one before. Chains
+    are told by days alone, so a task orders at most one row a day and key, and a cluster's
+    rows stay rows, however many they are. Rows without a date belong to the first chain."""
+    keys = ["source", "amount", "what"]
+    rows = keep(txns.select("source", "amount", normalized(F.coalesce("description", F.lit(""))).alias("what"), "id", "date", "ord"), "said")
+    per_day = rows.groupBy(*keys, "date").agg(F.count("*").alias("here"))
+    chains = numbered(per_day, keys, window).withColumnRenamed("island", "chain")
+    # only keys with two rows or more go further
+    sized = chains.withColumn("n", F.sum("here").over(Window.partitionBy(*keys, "chain"))).where("n > 1").drop("here")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*keys, "date")]
+    return rows.alias("r").join(sized.alias("c"), same).select(*[f"r.{c}" for c in keys], "chain", "n", "r.id", "r.date", "r.ord")
+
+
 def duplicate_clusters(txns: DataFrame, window: int = 1) -> DataFrame:
-    """source, amount, what, members (ids by date and input), dates: rows of one source with
-    equal amount and description, each within `window` days of the one before."""
+    """source, amount, what, members (ids by date and input), dates: the clusters of duplicate_rows, each
+    as one row, since a flag names its members."""
     keys = ["source", "amount", "what"]
-    order = Window.partitionBy(*keys).orderBy("date", "ord")
-    rows = txns.withColumn("what", normalized(F.coalesce("description", F.lit(""))))
-    gap = F.datediff("date", F.lag("date").over(order))
-    rows = rows.withColumn("chain", F.sum((gap > window).cast("int")).over(order))
-    # the first row of a group has no gap, so its chain is null: it belongs with chain 0
-    rows = rows.withColumn("chain", F.coalesce("chain", F.lit(0)))
-    grouped = rows.groupBy(*keys, "chain").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("date", "ord", "id"))).alias("rows")).where("n > 1")
+    grouped = duplicate_rows(txns, window).groupBy(*keys, "chain").agg(F.sort_array(F.collect_list(F.struct("date", "ord", "id"))).alias("rows"))
     return grouped.select(*keys, F.transform("rows", lambda r: r["id"]).alias("members"), F.transform("rows", lambda r: r["date"]).alias("dates"), F.element_at("rows", 1)["ord"].alias("first"))
 
 

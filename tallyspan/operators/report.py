@@ -93,6 +93,34 @@ def summary(one: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*items)).alias("x")).select("x.*")
 
 
+# The notes of the summary's lines, and after which lines a blank one stands.
+SUMMARY_NOTES = {
+    "Bank transactions": "net movement on the statement",
+    "Ledger transactions": "net movement in the books",
+    "Difference to explain": "bank net less ledger net",
+    "Matched": "paired between the two documents",
+    "  amounts disagree": "see Review - Amount",
+    "  booked on different dates": "see Review - Date",
+    "  matched on figures alone": "see Review - Weak Evidence",
+    "Bank-only items": "on the statement, not in the ledger",
+    "Ledger-only items": "in the ledger, not on the statement",
+    "UNEXPLAINED": "must be 0.00 — anything else means a row was mismatched, double-counted or dropped",
+}
+BLANK_AFTER = ("Difference to explain", "Ledger-only items")
+
+
+def summary_sheet(one: DataFrame) -> DataFrame:
+    """The summary as a sheet shows it: line, item, count, amount and note, blank lines between its parts."""
+    rows = summary(one)
+    note = F.coalesce(*[F.when(F.col("item") == item, F.lit(said)) for item, said in SUMMARY_NOTES.items()], F.lit(""))
+    line = {name: i for i, (name, *_) in enumerate(SUMMARY_ITEMS)}
+    # a blank line's place is half a line below
+    blank = rows.where(F.col("item").isin(*BLANK_AFTER)).select((F.col("line") + 0.5).alias("place"), F.lit("").alias("item"), F.lit(None).cast("long").alias("count"), F.lit(None).cast("decimal(28,2)").alias("amount"), F.lit("").alias("note"))
+    every = rows.select(F.col("line").cast("double").alias("place"), "item", "count", "amount", note.alias("note")).unionByName(blank)
+    before = sum(((F.col("place") > line[name] + 0.5).cast("long") for name in BLANK_AFTER), F.lit(0))
+    return every.select((F.ceil("place") + before).cast("long").alias("line"), "item", "count", "amount", "note")
+
+
 def citation(kind: Column, page: Column, start: Column, end: Column) -> Column:
     """Where a row was read, as a reviewer would say it."""
     paged = F.coalesce(F.concat(F.lit("page "), page.cast("string"), F.lit(", ")), F.lit(""))

@@ -190,6 +190,13 @@ SQL |= {
     + " SELECT bank_id, ledger_id, round(score, 6) AS similarity, confidence FROM (" + " UNION ALL ".join(f"SELECT * FROM kq{i}" for i in range(6)) + ")",
 }
 
+SQL["dup_rows"] = f"WITH {clusters(BASE)} SELECT source, amount, unnest(members) AS id, unnest(dates) AS date, len(members)::BIGINT AS n FROM clusters"
+_NOTES = (
+    "net movement on the statement", "net movement in the books", "bank net less ledger net", "paired between the two documents", "see Review - Amount", "see Review - Date", "see Review - Weak Evidence",
+    "on the statement, not in the ledger", "in the ledger, not on the statement", "", "", "", "", "must be 0.00 — anything else means a row was mismatched, double-counted or dropped",
+)
+SQL["summary_sheet"] = f"""SELECT line + CASE WHEN line > 8 THEN 2 WHEN line > 2 THEN 1 ELSE 0 END AS line, item, count, amount, {list(_NOTES)!r}[line + 1] AS note FROM ({SQL["summary"]})
+    UNION ALL SELECT unnest([3, 10])::BIGINT, '', NULL, NULL, ''"""
 SQL["workbook_ingest"] = SQL["sheet_ingest"]
 _PLACED = f"""{BASE}, printed AS MATERIALIZED (
     SELECT doc, (n // 30 + 1)::BIGINT AS page, k AS line, 100.0::DOUBLE + n % 30 * 15 AS top, said, 'N' || k AS reference, CASE WHEN a < 0 THEN figure END AS debit, CASE WHEN a >= 0 THEN figure END AS credit,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import anomalies, matching, report
 from ..shared import keep
+from ..sources import sheets
 from ..sources.workbooks import write_workbook
 
 
@@ -27,6 +28,9 @@ class Reconciliation:
     def summary(self) -> DataFrame:
         return report.summary(self.totals())
 
+    def summary_sheet(self) -> DataFrame:
+        return report.summary_sheet(self.totals())
+
     def flags(self, config: anomalies.Config = anomalies.Config()) -> DataFrame:
         return anomalies.detect(self.bank, self.ledger, self.pairs, config)
 
@@ -40,7 +44,7 @@ class Reconciliation:
         reasons = self.reasons()
         left = lambda rows, source: rows.join(reasons.where(F.col("source") == source).select("id", "reason"), "id")
         return {
-            "Summary": self.summary(), "Matched": self.paired,
+            "Summary": self.summary_sheet(), "Matched": self.paired,
             "Review - Amount": review["amount"], "Review - Date": review["date"], "Review - Weak Evidence": review["weak"],
             "Unmatched Bank": left(self.bank_left, "bank"), "Unmatched Ledger": left(self.ledger_left, "ledger"),
             "Anomalies": anomaly_rows(self.flags(), self.bank.unionByName(self.ledger)), "Transactions": self.bank.unionByName(self.ledger),
@@ -58,6 +62,14 @@ class Reconciliation:
         write_workbook(self.tabs(), path, order)
 
 
+def reconcile_files(spark: SparkSession, bank: str, ledger: str, template: str | None = None) -> Reconciliation:
+    """The run over files. A file that is on both sides, byte for byte, is refused: it would match
+    itself, and the proof would balance without saying anything."""
+    if bank == ledger or sheets.same_content(spark, bank, ledger):
+        raise ValueError("the same file is on both sides")
+    return reconcile(sheets.read_transactions(spark, bank, "bank", template), sheets.read_transactions(spark, ledger, "ledger", template))
+
+
 def reconcile(bank: DataFrame, ledger: DataFrame) -> Reconciliation:
     """The run. Both sides and what is left of them are stored once, as every stage and tab
     reads them."""

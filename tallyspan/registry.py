@@ -151,6 +151,15 @@ def dup_payments(spark, sf_dir):
     return rows.select("source", "amount", F.array_join("members", ",").alias("members"), anomalies.duplicate_reason(1).alias("reason"))
 
 
+def dup_rows(spark, sf_dir):
+    """The members of duplicate clusters, a row each."""
+    return anomalies.duplicate_rows(_all(spark, sf_dir)).select("source", "amount", "id", "date", "n")
+
+
+def summary_sheet(spark, sf_dir):
+    return reconcile(*_sides(spark, sf_dir)).summary_sheet()
+
+
 def threshold_avoidance(spark, sf_dir):
     return anomalies.threshold_avoidance(_all(spark, sf_dir)).select("id", "source", F.col("threshold").cast("long").alias("threshold"), "reason")
 
@@ -425,7 +434,7 @@ QUERIES = {
     for f in (
         summary, bank_transactions, ledger_transactions, fee_gap, distinctive_tokens, token_dice, reference_match, citation_label, narration_parse,
         match_exact_candidates, match_exact, corroboration_mix, unmatched_bank, unmatched_ledger, near_candidates, match_near, unexplained, recon_identity, completeness, stage1_exact,
-        dup_payments, threshold_avoidance, round_numbers, mirrored_entries, timing_gaps, dup_collapsed, anomaly_report, anomaly_rows_all, run_payload, headline, model_rows, model_answers, match_hot_amounts, match_issues, _review("amount"), _review("date"), _review("weak"), classify_unmatched,
+        dup_payments, dup_rows, summary_sheet, threshold_avoidance, round_numbers, mirrored_entries, timing_gaps, dup_collapsed, anomaly_report, anomaly_rows_all, run_payload, headline, model_rows, model_answers, match_hot_amounts, match_issues, _review("amount"), _review("date"), _review("weak"), classify_unmatched,
         balance_audit, footing_check, client_activity, run_history, retention_purge, cosine_topk, semantic_match, ledger_convention, layout_parse, locate_lines, cell_boxes, sheet_ingest, workbook_ingest,
     )
 }
