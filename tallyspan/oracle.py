@@ -221,3 +221,21 @@ SQL |= {
     UNION ALL SELECT doc, page, line, 'description', {_BOX.format('min', 'max')} FROM taken JOIN edges USING (doc, page, line)
       WHERE field IS NULL AND (after IS NULL OR x0 >= after) AND (before IS NULL OR x1 <= before) GROUP BY doc, page, line""",
 }
+
+# Every amount's bank rows choose one after another; what is taken goes along with the walk.
+SQL["match_hot_amounts"] = f"""WITH RECURSIVE items AS (SELECT (l_orderkey * 64 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))::BIGINT AS k, l_shipdate::DATE AS d, l_quantity::DECIMAL(18,2) AS amount, substr(md5((l_suppkey % 40)::VARCHAR), 1, 6) AS p FROM lineitem),
+bank AS (SELECT 'B' || k AS id, k AS ord, d AS date, amount, 'NEFT ' || p AS description, CASE WHEN k % 3 = 0 THEN 'R' || k END AS reference FROM items),
+ledger AS (SELECT 'L' || k AS id, k AS ord, d + (k % 3)::INT AS date, amount, 'Payment to ' || p AS description, CASE WHEN k % 5 <> 0 THEN 'R' || k END AS reference FROM items),
+pb AS MATERIALIZED (SELECT *, {TOKENS} AS tokens, {FORMS} AS forms FROM bank),
+pl AS MATERIALIZED (SELECT *, {TOKENS} AS tokens, {FORMS} AS forms FROM ledger),
+near AS MATERIALIZED (SELECT b.id AS bank_id, list({{'similarity': {SIMILARITY}, 'ledger_id': l.id, 'same': b.date = l.date, 'corroboration': {CORROBORATION}}} ORDER BY {SIMILARITY} DESC, l.id) AS found
+    FROM pb b JOIN pl l ON b.amount = l.amount AND abs(date_diff('day', b.date, l.date)) <= 3 GROUP BY b.id),
+turns AS MATERIALIZED (SELECT b.amount, b.id AS bank_id, row_number() OVER (PARTITION BY b.amount ORDER BY b.date, b.ord) AS turn, n.found FROM pb b JOIN near n ON n.bank_id = b.id),
+walk AS (
+    SELECT DISTINCT amount, 0::BIGINT AS turn, []::VARCHAR[] AS taken, NULL::VARCHAR AS bank_id, 0 AS n, turns.found[1] AS pick FROM turns WHERE turn = 1
+    UNION ALL
+    SELECT amount, turn, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.ledger_id) END, bank_id, n, pick FROM (
+        SELECT amount, turn, taken, bank_id, len(free) AS n, CASE WHEN len(free) = 1 OR len(free) > 1 AND free[1].similarity >= 0.85 AND free[1].similarity > free[2].similarity THEN free[1] END AS pick
+        FROM (SELECT t.amount, t.turn, w.taken, t.bank_id, list_filter(t.found, lambda x: NOT list_contains(w.taken, x.ledger_id)) AS free FROM walk w JOIN turns t ON t.amount = w.amount AND t.turn = w.turn + 1)))
+SELECT bank_id, pick.ledger_id AS ledger_id, 'exact_amount_' || CASE WHEN pick.same THEN 'same_date' ELSE 'near_date' END || CASE WHEN n > 1 THEN '_fuzzy_desc' ELSE '' END AS rule, round(pick.similarity, 6) AS similarity, pick.corroboration AS corroboration
+FROM walk WHERE bank_id IS NOT NULL AND pick IS NOT NULL"""

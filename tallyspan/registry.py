@@ -240,7 +240,10 @@ def model_answers(spark, sf_dir):
 def match_hot_amounts(spark, sf_dir):
     """Line items as payments of fifty amounts: every amount has a large share of the rows."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    k = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    # line numbers repeat within an order, so a line is named by its place there
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    items = items.withColumn("place", place)
+    k = (F.col("l_orderkey") * 64 + F.col("place")).cast("long")
     party = F.substring(F.md5((F.col("l_suppkey") % 40).cast("string")), 1, 6)
     side = lambda source, p, date, said, ref: items.select(F.concat(F.lit(p), k).alias("id"), k.alias("ord"), F.lit(source).alias("source"), date.alias("date"), F.col("l_quantity").cast("decimal(18,2)").alias("amount"), said.alias("description"), ref.alias("reference"), F.array().cast("array<string>").alias("alt_references"))
     day = F.to_date("l_shipdate")

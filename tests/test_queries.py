@@ -20,7 +20,7 @@ def db():
 
 
 #: One query of each stage: all of them run in the driver's own comparison.
-SAMPLE = ("summary", "match_exact", "narration_parse", "dup_payments", "dup_rows", "summary_sheet", "round_numbers", "balance_audit", "layout_parse", "locate_lines", "cell_boxes", "sheet_ingest", "workbook_ingest", "classify_unmatched", "cosine_topk", "semantic_match", "ledger_convention", "anomaly_rows", "anomaly_report", "run_payload", "headline", "model_rows", "model_answers", "mirrored_entries", "match_near")
+SAMPLE = ("summary", "match_exact", "narration_parse", "dup_payments", "dup_rows", "summary_sheet", "round_numbers", "balance_audit", "layout_parse", "locate_lines", "cell_boxes", "sheet_ingest", "workbook_ingest", "classify_unmatched", "cosine_topk", "semantic_match", "ledger_convention", "anomaly_rows", "anomaly_report", "run_payload", "headline", "model_rows", "model_answers", "mirrored_entries", "match_near", "match_hot_amounts")
 
 
 @pytest.mark.parametrize("name", SAMPLE)
