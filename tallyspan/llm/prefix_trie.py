@@ -37,8 +37,9 @@ from .merkle import CRC32
 from .numbering import numbered
 from .tables import keep, read
 
-#: Batches of insertion, each about so much of all sequences: later ones search what earlier ones made.
-BATCHES = (0.25, 0.5, 1.0)
+#: Where batches of insertion end, as shares of all sequences by id; the last one has the rest. Later ones
+#: search what earlier ones made.
+BATCHES = (0.25, 0.5)
 #: Ids of one sequence that are put in order at once.
 IDS = 1024
 #: A rebuilt conversation takes fewer turns than this from its family's first, and FAMILY ids are one.
@@ -158,15 +159,17 @@ def located(batch: DataFrame, nodes: DataFrame, paths: DataFrame, steps: int) ->
     return compared(exits, paths)
 
 
-def inserted(sequences: DataFrame, paths: DataFrame) -> DataFrame:
-    """conv, len, chain, level, depth and head of every sequence with a turn: it leaves `chain` at
+def inserted(sequences: DataFrame, paths: DataFrame) -> DataFrame | None:
+    """conv, len, chain, level, depth and head of every sequence with a turn, if there is any: it leaves `chain` at
     `depth` as a new chain (head = conv) or ends there (no head); rows with another head were waiting."""
     some = sequences.where("len > 0").select("conv", "len")
     bounds = some.agg(F.percentile_approx("conv", list(BATCHES)).alias("ids"), F.max("len").alias("len")).first()
-    placed, low = None, None
-    for high in sorted(set(bounds["ids"] or [])):
-        batch = some.where(F.col("conv") <= high if low is None else (F.col("conv") > low) & (F.col("conv") <= high))
-        low = high
+    if bounds["len"] is None:
+        return None
+    placed, ends = None, sorted(set(bounds["ids"]))
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        batch = some if low is None else some.where(F.col("conv") > low)
+        batch = batch if high is None else batch.where(F.col("conv") <= high)
         if placed is None:
             waiting = batch.select("conv", "len", F.lit(None).cast("long").alias("chain"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("depth"))
         else:

@@ -79,6 +79,12 @@ def test_many_copies_and_ranges(spark, tmp_path, monkeypatch):
     assert run(spark, rows, tmp_path) == brute(rows)
 
 
+def test_ids_of_all_64_bits(spark, tmp_path):
+    """Where batches end is approximate, and no id may lie beyond the last one."""
+    rows = [(c, t, "user", f"{c % 3} {t}") for c in [2**63 - 1 - i for i in range(12)] + [-(2**63) + i for i in range(12)] for t in range(3)]
+    assert run(spark, rows, tmp_path) == brute(rows)
+
+
 def test_only_turnless(spark, tmp_path):
     absent = [c for c in range(1, 200) if c % 5 and zlib.crc32(str(c).encode()) % 9][:4]
     rows = [(c, 0, "user", "gone") for c in absent]
