@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import keep, read
+from .tables import drop, keep, read
 from .words import mix, slices, text_bytes
 
 #: Bytes of the shortest repeat, of the pieces whose least hash files it, and most starts of one string.
@@ -49,8 +49,8 @@ GRAM = 20
 RUN = 64
 #: Text of a slice, whose strings are packed together, text to a bucket of minimizers and to a
 #: partition, and starts that are hashed at once.
-SLICE_BYTES = 12 << 20
-BUCKET_BYTES = 4 << 20
+SLICE_BYTES = 14 << 20
+BUCKET_BYTES = 8 << 20
 PART_BYTES = 16 << 20
 BLOCK = 1 << 17
 #: From so many different strings of one minimizer in a slice on, they go to step 2 at once.
@@ -434,6 +434,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     shards = parts.select(F.col("key").alias("shard"), chunk.alias("chunk"), "doc_id", "hash", "start", "string", F.col("parts").isNotNull().alias("crowded"))
     partitions = max(1, min(PARTITIONS, -(-total // (2 * PART_BYTES))))
     second = keep(factors(shards, partitions, whole=True), "factors")
+    drop(cut)
     spans = second.where("size > 0")
     if found:
         # the firsts of all shards of a crowded minimizer meet by their beginnings
