@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import growing
 from .reconcile import Reconciliation
 
 SECTIONS = ("summary", "matched", "unmatched_bank", "unmatched_ledger", "anomalies")
@@ -25,7 +26,7 @@ def entries(run: Reconciliation) -> DataFrame:
         out = out.unionByName(named(rows.join(reasons, "id"), section, *FIELDS, "reason"))
     flags = run.flags()
     txns = run.bank.unionByName(run.ledger).select(*FIELDS)
-    members = flags.select("flag_id", F.posexplode("members").alias("place", "id")).join(txns, "id")
+    members = flags.select("flag_id", F.posexplode("members").alias("place", "id")).join(growing(txns), "id")
     members = members.groupBy("flag_id").agg(F.sort_array(F.collect_list(F.struct("place", F.struct(*FIELDS).alias("t")))).alias("ts"))
     flagged = flags.select("flag_id", "rule", "reason").join(members, "flag_id").withColumn("transactions", F.transform("ts", lambda x: x["t"]))
     return out.unionByName(named(flagged, "anomalies", "rule", "reason", "transactions"))
