@@ -4,8 +4,9 @@ Words are rows (doc, page, word, text, x0, x1, top, bottom, width, height) of an
 rows (doc, page, line, text). Two extractors agree on characters but not on how they group them,
 so a line is looked for by its words: each height at which one of them stands is scored by how
 many different words of the line stand within BAND of it, and the best, then highest, wins. Words
-meet lines by document, page and characters, and heights by bands, so nothing is compared that is
-not near; a page of a million words is only more rows.
+meet lines by document, page and characters: a line meets the heights of each of its words as one
+list, so a word that every line has is no row a pair of lines. Words with more heights than MOST_HEIGHTS meet as
+rows, by bands, so a page of a million words is only more rows.
 
 Boxes are fractions of their page. A line or word without characters has no place; rows with null names
 or places are left out; a word that a line has twice counts once.
@@ -16,8 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import growing, keep
+
 #: Points around a height in which a row's words stand: a row's parts are 3 to 6 apart, rows 15.
 BAND = 9.0
+#: Heights of one word on a page that are compared as a list; lines of words with more are scored as rows.
+MOST_HEIGHTS = 256
 #: Cells of one word, in the order in which they claim it, and those that hold money.
 CELLS = ("date", "reference", "debit", "credit", "balance")
 MONEY = ("debit", "credit", "balance")
@@ -39,14 +44,40 @@ def located_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     each of its words there."""
     boxes = words.select("doc", "page", "word", squashed(F.col("text")).alias("key"), "top", (F.col("x0") / F.col("width")).alias("x0"), (F.col("top") / F.col("height")).alias("y0"), (F.col("x1") / F.col("width")).alias("x1"), (F.col("bottom") / F.col("height")).alias("y1"))
     tokens = lines.select(*LINE, F.explode(F.array_distinct(F.transform(F.split("text", r"\s+"), squashed))).alias("key")).where("key <> ''")
-    met = tokens.join(boxes, ["doc", "page", "key"]).withColumn("band", F.floor(F.col("top") / BAND))
+    places = keep(few_heights(tokens, boxes), "places")
+    crowded = places.where("best IS NULL").select(*LINE)
+    best = places.where("best IS NOT NULL").select(*LINE, "best.height", "best.score", "best.keys")
+    if crowded.limit(1).count():
+        best = best.unionByName(many_heights(tokens.join(crowded, [*LINE], "left_semi"), boxes))
+    asked = best.select(*LINE, "height", "score", F.explode("keys").alias("key"))
+    return growing(asked).join(boxes, ["doc", "page", "key"]).where(F.abs(F.col("top") - F.col("height")) <= BAND).drop("top")
+
+
+def few_heights(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
+    """doc, page, line and best (score, height, keys): a word's heights on a page are one list, which a line
+    meets as one row a word. best is null where a word of the line has more than MOST_HEIGHTS."""
+    heights = boxes.where("top IS NOT NULL").groupBy("doc", "page", "key").agg(F.collect_set("top").alias("tops"))
+    heights = heights.select("doc", "page", "key", (F.size("tops") > MOST_HEIGHTS).alias("crowded"), F.when(F.size("tops") <= MOST_HEIGHTS, F.col("tops")).alias("tops"))
+    met = growing(tokens).join(heights, ["doc", "page", "key"])
+    rows = met.groupBy(*LINE).agg(F.max("crowded").alias("crowded"), F.collect_set(F.struct("key", "tops")).alias("found"))
+    near = lambda h: F.filter("found", lambda w: F.exists(w["tops"], lambda t: F.abs(t - h) <= BAND))
+    all_heights = F.array_distinct(F.flatten(F.transform("found", lambda w: F.transform(w["tops"], lambda t: F.round(t, 1)))))
+    scores = F.transform(all_heights, lambda h: F.struct(F.size(near(h)).cast("long").alias("score"), (-h).alias("first"), h.alias("height")))
+    rows = rows.select(*LINE, "found", F.when(~F.col("crowded"), F.array_max(scores)).alias("best"))
+    keys = F.transform(near(F.col("best.height")), lambda w: w["key"])
+    return rows.select(*LINE, F.when(F.col("best").isNotNull(), F.struct("best.score", "best.height", keys.alias("keys"))).alias("best"))
+
+
+def many_heights(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
+    """doc, page, line, height, score and keys of the best place, a row for each height and word."""
+    met = tokens.distinct().join(boxes.select("doc", "page", "key", "top").distinct(), ["doc", "page", "key"]).withColumn("band", F.floor(F.col("top") / BAND))
     heights = met.select(*LINE, F.round("top", 1).alias("height")).distinct()
     around = heights.withColumn("band", F.explode(F.array(*[F.floor(F.col("height") / BAND) + i for i in (-1, 0, 1)])))
     # rounding a height may move it into the next band, but never by one band and more
-    near = met.join(around, [*LINE, "band"]).where(F.abs(F.col("top") - F.col("height")) <= BAND)
-    best = near.groupBy(*LINE, "height").agg(F.count_distinct("key").alias("score")).groupBy(*LINE).agg(F.max_by(F.struct("height", "score"), F.struct("score", -F.col("height"))).alias("best"))
-    best = best.select(*LINE, "best.height", "best.score")
-    return near.join(best, [*LINE, "height"]).select(*LINE, "height", "score", "word", "key", *EDGES)
+    near = growing(met).join(around, [*LINE, "band"]).where(F.abs(F.col("top") - F.col("height")) <= BAND)
+    rows = near.groupBy(*LINE, "height").agg(F.collect_set("key").alias("keys")).withColumn("score", F.size("keys").cast("long"))
+    best = rows.groupBy(*LINE).agg(F.max_by(F.struct("height", "score", "keys"), F.struct("score", -F.col("height"))).alias("best"))
+    return best.select(*LINE, "best.height", "best.score", "best.keys")
 
 
 def located_lines(lines: DataFrame, words: DataFrame) -> DataFrame:

@@ -28,3 +28,16 @@ def test_equal_values_take_words_from_the_left_and_the_rest_is_said(spark):
 def test_nothing_to_place(spark):
     rows = spark.createDataFrame([], CELLS)
     assert geometry.cell_boxes(rows, geometry.located_words(rows, page(spark, [("x", 1, 1)]))).count() == 0
+
+
+def test_crowded_words_are_placed_as_others_and_a_line_meets_lists(spark, monkeypatch):
+    """Lines of a page that share a word: the same places by lists and by rows, and no row a pair of lines."""
+    words = page(spark, [w for n in range(12) for w in (("NEFT", 60, 104 + 15 * n), (f"N{n}", 10, 100 + 15 * n), (f"{n % 3}.00", 300, 100 + 15 * n))])
+    lines = spark.createDataFrame([("d", 1, n, f"N{n} NEFT {n % 3}.00") for n in range(12)], "doc string, page long, line long, text string")
+    lists = {tuple(r) for r in geometry.located_words(lines, words).collect()}
+    assert len(lists) == 36
+    tokens = lines.selectExpr("doc", "page", "line", "explode(split(text, ' ')) AS key")
+    boxes = words.selectExpr("doc", "page", "text AS key", "top")
+    assert geometry.few_heights(tokens, boxes).count() == 12
+    monkeypatch.setattr(geometry, "MOST_HEIGHTS", 4)
+    assert {tuple(r) for r in geometry.located_words(lines, words).collect()} == lists
