@@ -9,7 +9,8 @@ zeros) in (top, bottom]. Handles are a table keyed by their hash.
 
 Conversations are inserted in BATCHES, in order of id. A batch finds its exits by fat binary search:
 the 2-fattest depth of what is open is looked up among the handles, which halves it or goes on
-below the edge found; so one of n turns takes log2(n) + 1 lookups, each a join. The last edge
+below the edge found; so one of n turns takes log2(n) + 1 lookups. They are all in one row, as one
+join brings every handle that is a prefix of it, at most one for each edge of its path. The last edge
 is then compared turn by turn. Of the conversations that leave at one place with one turn the
 least becomes a new chain, and the rest, which share that turn, are compared with it, in rounds that
 end when none is left. As ids ascend, a chain's conversation is the least member of its nodes.
@@ -38,8 +39,8 @@ from .numbering import numbered
 from .tables import keep, read
 
 #: Where batches of insertion end, as shares of all sequences by id; the last one has the rest. Later ones
-#: search what earlier ones made.
-BATCHES = (0.25, 0.5)
+#: search what earlier ones made. Every batch is more jobs for the driver.
+BATCHES = (0.5,)
 #: Ids of one sequence that are put in order at once.
 IDS = 1024
 #: A rebuilt conversation takes fewer turns than this from its family's first, and FAMILY ids are one.
@@ -130,22 +131,27 @@ def handles(edges: DataFrame, paths: DataFrame) -> DataFrame:
     return rows.groupBy("chain", "level", "top", "bottom").agg(*[pick(k, f"h{i}").alias(f"{k}{i}") for k in points for i in (1, 2)])
 
 
+def searched(low: str, high: str, steps: int, found: tuple[str, ...]) -> Column:
+    """The edge that fat binary search ends at, from `hits`: the edges (fat, then found) whose handles are prefixes of
+    this conversation. A hit goes on below its edge, a miss halves what is open."""
+    kinds = {"level": "int"}
+    blank = ", ".join(f"'{c}', CAST({'NULL' if c == 'chain' else '0'} AS {kinds.get(c, 'bigint')})" for c in found)
+    kept = lambda source: ", ".join(f"'{c}', {source}.{c}" for c in found)
+    fat = "s.high & shiftleft(-1L, length(bin(s.low ^ s.high)) - 1)"  # as fattest()
+    hit = f"get(filter(hits, h -> h.fat = ({fat})), 0)"
+    met = f"transform(array({hit}), m -> if(m IS NULL, named_struct('low', s.low, 'high', ({fat}) - 1, {kept('s')}), named_struct('low', m.bottom, 'high', s.high, {kept('m')})))[0]"  # the array only names the hit
+    return F.expr(f"aggregate(sequence(1, {steps}), named_struct('low', CAST({low} AS bigint), 'high', CAST({high} AS bigint), {blank}), (s, i) -> if(s.low < s.high, {met}, s))")
+
+
 def located(batch: DataFrame, nodes: DataFrame, paths: DataFrame, steps: int) -> DataFrame:
-    """conv, len, chain (null at the root), level and depth of where each of a batch leaves the trie."""
+    """conv, len, chain (null at the root), level and depth of where each of a batch leaves the trie. All
+    look-ups of a search are one join: a conversation's prefixes meet the handles, and it searches among its hits."""
     found = ("chain", "level", "top", "bottom", "x1", "x2")
-    zero = F.lit(0).cast("long")
-    state = batch.select("conv", "len", zero.alias("low"), F.col("len").alias("high"), F.lit(None).cast("long").alias("chain"), F.lit(0).alias("level"), *[zero.alias(c) for c in found[2:]])
-    by_handle = nodes.select(F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), *[F.col(c).alias(f"_{c}") for c in found])
-    for _ in range(steps):
-        open_ = state.withColumn("fat", F.when(F.col("low") < F.col("high"), fattest("low", "high")))
-        probe = at_depth(paths, open_, "conv", F.col("fat"), g1="h1", g2="h2")
-        hit = probe.join(by_handle, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2")), "left")
-        met = F.col("_chain").isNotNull()
-        state = hit.select(
-            "conv", "len", F.when(met, F.col("_bottom")).otherwise(F.col("low")).alias("low"),
-            F.when(F.col("fat").isNotNull() & ~met, F.col("fat") - 1).otherwise(F.col("high")).alias("high"),
-            *[F.when(met, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in found],
-        )
+    own = paths.select("conv", "depth", "h1", "h2").join(batch.select("conv"), "conv", "left_semi")
+    hits = own.join(nodes.select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), *found), ["h1", "h2"])
+    hits = hits.groupBy("conv").agg(F.collect_list(F.struct(F.col("depth").alias("fat"), *found)).alias("hits"))
+    state = batch.select("conv", "len").join(hits, "conv", "left").withColumn("hits", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)))
+    state = state.select("conv", "len", searched("0", "len", steps, found).alias("s")).select("conv", "len", *[F.col(f"s.{c}").alias(c) for c in found])
     state = at_depth(paths, state, "conv", F.col("bottom"), e1="h1", e2="h2")
     passed = (F.col("bottom") == 0) | F.coalesce((F.col("e1") == F.col("x1")) & (F.col("e2") == F.col("x2")), F.lit(False))
     state = at_depth(paths, state.withColumn("passed", passed), "conv", F.when(F.col("passed"), F.col("bottom") + 1), n1="h1", n2="h2")

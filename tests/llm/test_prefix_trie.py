@@ -109,3 +109,14 @@ def test_equals_sql(spark):
     found = con.execute(prefix_trie.ORACLE_SQL["op11_prefix_trie"])
     assert [d[0] for d in found.description] == list(COLUMNS)
     assert sorted(repr(tuple(r)) for r in found.fetchall()) == sorted(repr(tuple(r)) for r in prefix_trie.op11_prefix_trie(spark, "/root/testdata/sf0.001").select(*COLUMNS).collect())
+
+
+def test_lookups_of_a_search_are_one_join(spark):
+    """The driver plans as many joins for long conversations as for short ones."""
+    batch = spark.createDataFrame([(7, 3)], "conv long, len long")
+    paths = spark.createDataFrame([(7, 1, 1, 1), (7, 2, 2, 2), (7, 3, 3, 3)], "conv long, depth long, h1 long, h2 long")
+    nodes = spark.createDataFrame([(5, 1, 0, 2, 2, 2, 2, 2, 1, 1)], "chain long, level int, top long, bottom long, g1 long, g2 long, x1 long, x2 long, o1 long, o2 long")
+    short, long = (prefix_trie.located(batch, nodes, paths, steps) for steps in (2, 20))
+    joins = [df._jdf.queryExecution().analyzed().toString().count("Join ") for df in (short, long)]
+    assert joins[0] == joins[1]
+    assert [tuple(r) for r in long.select("conv", "chain", "level", "depth").collect()] == [(7, 5, 1, 2)]
