@@ -216,6 +216,24 @@ def test_passages_whose_parts_stand_alone_elsewhere(spark):
     assert all((3000 + t, 2000 + t) in pairs for t in range(40))
 
 
+def test_a_chain_whose_seeds_have_different_anchors_is_found(spark):
+    """Triples: an older text has the start of what two others share, so one of these is the anchor of
+    the end's seeds and not of the start's. All pairs of theirs that share two seeds are found."""
+    unlike = lambda rng, n: [f"{rng.randrange(10**9):x}" for _ in range(n)]
+    rng, rows = random.Random(5), {}
+    for t in range(60):
+        start, end, between = unlike(rng, 13), unlike(rng, 13), [unlike(rng, 4) for _ in range(3)]
+        own = lambda: unlike(rng, 30) + start + [w for some in between for w in unlike(rng, 1) + some] + unlike(rng, 1) + end + unlike(rng, 30)
+        rows |= {1000 + t: unlike(rng, 30) + start + unlike(rng, 30), 2000 + t: own(), 3000 + t: own()}
+    texts = passages.keyed(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string"))
+    seeds = {}
+    for r in passages.seeds(texts).where("NOT long").collect():
+        seeds.setdefault(r.doc_id, set()).add(r.seed)
+    found = {(r.doc_id, r.anchor_id) for r in passages.passages(texts).collect()}
+    two = [t for t in range(60) if len(seeds[2000 + t] & seeds[3000 + t]) > 1]
+    assert len(two) > 20 and all((3000 + t, 2000 + t) in found for t in two), [t for t in two if (3000 + t, 2000 + t) not in found]
+
+
 def test_long_runs_name_their_words():
     import numpy as np
 
