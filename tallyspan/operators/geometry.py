@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import growing, keep
+from ..shared import growing, interim, keep
 
 #: Points around a height in which a row's words stand: a row's parts are 3 to 6 apart, rows 15.
 BAND = 9.0
@@ -44,13 +44,14 @@ def located_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     each of its words there."""
     boxes = words.select("doc", "page", "word", squashed(F.col("text")).alias("key"), "top", (F.col("x0") / F.col("width")).alias("x0"), (F.col("top") / F.col("height")).alias("y0"), (F.col("x1") / F.col("width")).alias("x1"), (F.col("bottom") / F.col("height")).alias("y1"))
     tokens = lines.select(*LINE, F.explode(F.array_distinct(F.transform(F.split("text", r"\s+"), squashed))).alias("key")).where("key <> ''")
-    places = keep(few_heights(tokens, boxes), "places")
-    crowded = places.where("best IS NULL").select(*LINE)
-    best = places.where("best IS NOT NULL").select(*LINE, "best.height", "best.score", "best.keys")
-    if crowded.limit(1).count():
-        best = best.unionByName(many_heights(tokens.join(crowded, [*LINE], "left_semi"), boxes))
-    asked = best.select(*LINE, "height", "score", F.explode("keys").alias("key"))
-    return growing(asked).join(boxes, ["doc", "page", "key"]).where(F.abs(F.col("top") - F.col("height")) <= BAND).drop("top")
+    with interim() as result:
+        places = keep(few_heights(tokens, boxes), "places")
+        crowded = places.where("best IS NULL").select(*LINE)
+        best = places.where("best IS NOT NULL").select(*LINE, "best.height", "best.score", "best.keys")
+        if crowded.limit(1).count():
+            best = best.unionByName(many_heights(tokens.join(crowded, [*LINE], "left_semi"), boxes))
+        asked = best.select(*LINE, "height", "score", F.explode("keys").alias("key"))
+        return result(growing(asked).join(boxes, ["doc", "page", "key"]).where(F.abs(F.col("top") - F.col("height")) <= BAND).drop("top"), "located")
 
 
 def few_heights(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -91,15 +92,18 @@ def cell_boxes(rows: DataFrame, found: DataFrame) -> DataFrame:
     from the left, in the order of CELLS; the description is what is left between the date and
     the first figure."""
     order = {c: i for i, c in enumerate(CELLS)}
-    cells = rows.select(*LINE, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.lit(i).alias("turn"), squashed(F.col(c).cast("string")).alias("key")) for c, i in order.items()])).alias("cell")).select(*LINE, "cell.*").where("key IS NOT NULL AND key NOT IN ('', '0')")
-    place = lambda *by: F.row_number().over(Window.partitionBy(*LINE, "key").orderBy(*by))
-    claims = cells.withColumn("claim", place("turn")).drop("turn")
-    words = found.select(*LINE, "word", "key", *EDGES).withColumn("claim", place("x0", "word"))
-    taken = words.join(claims, [*LINE, "key", "claim"], "left")
-    of = lambda fields, edge, take: take(F.when(F.col("field").isin(*fields), F.col(edge)))
-    edges = taken.groupBy(*LINE).agg(of(("date",), "x1", F.max).alias("after"), of(MONEY, "x0", F.min).alias("before"))
-    kept = rows.select(*LINE).distinct()
-    rest = taken.where("field IS NULL").join(edges, [*LINE]).join(kept, [*LINE], "left_semi")
-    rest = rest.where((F.col("after").isNull() | (F.col("x0") >= F.col("after"))) & (F.col("before").isNull() | (F.col("x1") <= F.col("before"))))
-    said = rest.groupBy(*LINE).agg(*united()).select(*LINE, F.lit("description").alias("field"), *EDGES)
-    return taken.where("field IS NOT NULL").select(*LINE, "field", *EDGES).unionByName(said)
+    none, word = [F.lit(None).cast("double").alias(c) for c in EDGES], found.schema["word"].dataType
+    # a line's cells and words are dealt once, by line; the cell without a key tells that a line is among the rows
+    cells = rows.select(*LINE, F.explode(F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(-1).alias("turn"), F.lit("").alias("key")), *[F.struct(F.lit(c).alias("field"), F.lit(i).alias("turn"), squashed(F.col(c).cast("string")).alias("key")) for c, i in order.items()])).alias("cell")).select(*LINE, "cell.*").where("key IS NOT NULL AND key <> '0' AND (key <> '' OR field IS NULL)")
+    cells = cells.select(*LINE, "key", "field", F.struct("turn", F.lit(None).cast("double").alias("x0"), F.lit(None).cast(word).alias("word")).alias("turn"), F.lit(False).alias("is_word"), *none)
+    words = found.select(*LINE, "key", F.lit(None).cast("string").alias("field"), F.struct(F.lit(0).alias("turn"), F.col("x0").cast("double").alias("x0"), "word").alias("turn"), F.lit(True).alias("is_word"), *EDGES)
+    dealt = cells.unionByName(words).repartition(*LINE)
+    dealt = dealt.withColumn("claim", F.row_number().over(Window.partitionBy(*LINE, "key", "is_word").orderBy("turn")))
+    taken = dealt.groupBy(*LINE, "key", "claim").agg(F.max("field").alias("field"), F.max("is_word").alias("is_word"), *[F.max(c).alias(c) for c in EDGES])
+    line = Window.partitionBy(*LINE)
+    of = lambda fields, edge, take: take(F.when(F.col("is_word") & F.col("field").isin(*fields), F.col(edge))).over(line)
+    taken = taken.withColumns({"after": of(("date",), "x1", F.max), "before": of(MONEY, "x0", F.min), "kept": F.max(F.col("key") == "").over(line)}).where("is_word")
+    between = F.col("kept") & (F.col("after").isNull() | (F.col("x0") >= F.col("after"))) & (F.col("before").isNull() | (F.col("x1") <= F.col("before")))
+    said = F.coalesce("field", F.when(between, F.lit("description")))
+    taken = taken.select(*LINE, said.alias("field"), F.when(F.col("field").isNotNull(), F.struct("key", "claim")).alias("cell"), *EDGES).where("field IS NOT NULL")
+    return taken.groupBy(*LINE, "field", "cell").agg(*united()).drop("cell")
